@@ -74,10 +74,30 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     ends[at[1:][at[1:] > 0] - 1] = True
     ends &= inner
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return span_hashes(data, s, e), s, e, np.searchsorted(s, at)
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans from ``s`` up to ``e``."""
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    hashes = mixed((sums[e] - sums[s]) * _powers(_INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
-    return hashes, s, e, np.searchsorted(s, at)
+    return mixed((sums[e] - sums[s]) * _powers(_INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
+
+
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All lines (between newlines) of a slice of texts: 64-bit hashes, numbers of words, and each
+    text's first line (n + 1 offsets); an empty text has one empty line."""
+    own, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    newline = np.flatnonzero(own == 10)
+    order = np.argsort(np.concatenate([2 * at[1:], 2 * newline + 1]), kind="stable")
+    e = np.concatenate([at[1:], newline])[order]
+    by_newline = order >= len(at) - 1
+    s = np.concatenate([[0], e[:-1] + by_newline[:-1]]) if len(e) else e
+    first = np.concatenate([[0], np.flatnonzero(~by_newline) + 1])
+    _, word, _, _ = word_spans(data, offsets)
+    count = np.searchsorted(word, e) - np.searchsorted(word, s)
+    return span_hashes(own, s, e), count, first
 
 
 _TAKE = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
