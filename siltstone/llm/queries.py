@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linededup, mixing, neardup, packing, quality
+from . import ann, chat, htmltext, langid, linededup, media, mixing, neardup, packing, quality
 from .common import table
 
 
@@ -24,6 +24,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_table(table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -31,6 +39,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -69,7 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_media": op4_media,
+    "op5_nearest": op5_nearest,
     "op6_chat": op6_chat,
+    "op7_html_text": op7_html_text,
     "op8_language_id": op8_language_id,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_duplicates": op10_near_duplicates,
