@@ -12,10 +12,14 @@ def skipped(path: Column, patterns: list[str]) -> Column:
     """Whether any pattern matches anywhere in the path or in one of its ancestors (whose subtree is not entered)."""
     out = F.lit(False)
     for pattern in patterns:
-        out = out | F.exists(ancestors(path), lambda p, x=pattern: p.rlike(x))
+        out = out | F.exists(ancestors(path), _matches(pattern))
     return out
 
 
+def _matches(pattern: str):
+    return lambda prefix: prefix.rlike(pattern)
+
+
 def keep_unskipped(entries: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
     return entries.where(~skipped(F.col(path), patterns))
 

@@ -127,16 +127,17 @@ def _hash_directory(table: pa.Table) -> pa.Table:
     return pa.table({"snapshot_key": first.column("snapshot_key"), "dir": first.column("dir"), "tree_id": pa.array([object_id(data)]), "bytes": pa.array([data], pa.binary())})
 
 
-def build_trees(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build_trees(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Trees of flat entries (snapshot_key, parts, kind, chunks, target, meta), with exact ids.
 
-    Returns (tree rows in the form of ``TREE`` and their length, roots (snapshot_key, tree_id)). Directories are hashed bottom
-    up, one round per level; an empty directory has the empty tree.
+    Returns tree rows in the form of ``TREE``, the trees as blobs (blob_id, length, bytes), and the roots
+    (snapshot_key, tree_id). Directories are hashed bottom up, one round per level; an empty directory has the
+    empty tree.
     """
     key = entries.schema["snapshot_key"].dataType.simpleString()
     flat = materialize(entries.select("snapshot_key", "parts", F.size("parts").alias("depth"), "kind", "chunks", F.lit(None).cast("string").alias("subtree"), "target", "meta"), "entries")
     top = flat.agg(F.max("depth")).first()[0] or 0
-    rows, ids = None, None
+    rows, blobs, ids = None, None, None
     for d in range(top, -1, -1):
         here = flat.where(F.col("depth") == d + 1)
         if ids is not None:
@@ -147,7 +148,9 @@ def build_trees(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         dirs = flat.where((F.col("depth") == d) & (F.col("kind") == "directory")).select("snapshot_key", F.col("parts").alias("dir")) if d else flat.select("snapshot_key").distinct().withColumn("dir", F.array().cast("array<string>"))
         children = materialize(children.unionByName(dirs, allowMissingColumns=True), "children")
         ids = materialize(children.groupBy("snapshot_key", "dir").applyInArrow(_hash_directory, f"snapshot_key {key}, dir array<string>, tree_id string, bytes binary"), "tree-ids")
-        named = children.where("name is not null").join(ids.select("snapshot_key", "dir", "tree_id", F.octet_length("bytes").cast("long").alias("length")), ["snapshot_key", "dir"])
-        level = named.select("tree_id", "name", "kind", "chunks", "subtree", "target", "meta", "length")
+        named = children.where("name is not null").join(ids.select("snapshot_key", "dir", "tree_id"), ["snapshot_key", "dir"])
+        level = named.select("tree_id", "name", "kind", "chunks", "subtree", "target", "meta")
+        own = ids.select(F.col("tree_id").alias("blob_id"), F.octet_length("bytes").cast("long").alias("length"), "bytes")
+        blobs = own if blobs is None else blobs.unionByName(own)
         rows = level if rows is None else rows.unionByName(level)
-    return rows.dropDuplicates(["tree_id", "name"]), ids.select("snapshot_key", "tree_id")
+    return rows.dropDuplicates(["tree_id", "name"]), blobs.dropDuplicates(["blob_id"]), ids.select("snapshot_key", "tree_id")

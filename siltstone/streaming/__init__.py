@@ -1,0 +1 @@
+"""Continuous ingest: stateful and table-backed deduplication of blobs."""
