@@ -92,7 +92,8 @@ def slots_of(sources: DataFrame, slots: int, block_words: int, shard_slots: int,
     due = due.select("*", F.explode(F.expr(f"sequence(from, to - 1, {shard_slots})")).alias("at"))
     last = -(-slots // shard_slots)
     due = due.select((F.lit(last) + F.expr(f"(gap + at - from) div {shard_slots}")).alias("shard"), *facts, F.col("at").alias("from"), F.least(F.col("at") + shard_slots, F.col("to")).alias("to"))
-    runs = drawn.unionByName(due).repartition(F.col("rank"), F.col("shard"))
+    spread = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots // 65536))
+    runs = drawn.unionByName(due).repartition(spread, "rank", "shard")
     each = runs.select("shard", *facts, F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
     each = each.select("*", F.expr("slot div blocks").alias("epoch"), F.expr("slot % blocks").alias("p"))
     block = F.when(F.col("p") < F.col("full"), permuted(F.col("p"), F.greatest("full", F.lit(1)), F.lit(seed), F.col("rank"), F.col("epoch"))).otherwise(F.col("p"))
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     slot = slots_of(sources, slots, block_words, shard_slots, seed)
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.coalesce("words", F.lit(0)))
-    taken = pieces.join(slot, ["rank", "block"], "left").withColumn("lo", lo).withColumn("hi", F.greatest(lo, hi))
+    taken = pieces.join(slot.hint("merge"), ["rank", "block"], "left").withColumn("lo", lo).withColumn("hi", F.greatest(lo, hi))
     return Mix(sources, placed, taken)
 
 
