@@ -1,64 +1,24 @@
-"""Helpers shared by the training-data operators: shared scratch tables and word counting."""
+"""Helpers shared by the training-data operators: word counting, row numbers and the held-out fold."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
+__all__ = ["WORD", "is_held_out", "materialize", "numbered", "root_buckets", "table", "word_count"]
+
 #: A word is a maximal run of anything but space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN: dict[int, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where unset, a folder of our own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    key = id(spark.sparkContext)
-    if key not in _OWN:
-        _OWN[key] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return _OWN[key]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _drop_all() -> None:
-    while _WRITTEN:
-        _drop(*_WRITTEN.pop())
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Lost executors cost only the tasks they ran, since finished tables stay in the shared folder.
-    Tables are dropped when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
