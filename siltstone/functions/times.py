@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 _FILETIME_EPOCH = 11_644_473_600
 
 
+def _floor_div(a: Column, n: int) -> Column:
+    """Quotient rounded down, in whole numbers."""
+    return F.call_function("div", a - F.pmod(a, F.lit(n)), F.lit(n))
+
+
 def to_timestamp(ns: Column) -> Column:
-    return F.timestamp_micros(F.floor(ns.cast("decimal(38,0)") / 1000).cast("long"))
+    return F.timestamp_micros(_floor_div(ns.cast("long"), 1000))
 
 
 def to_text(ns: Column) -> Column:
     """ISO text in UTC with nine decimals."""
-    second = F.floor(ns.cast("decimal(38,0)") / 1_000_000_000).cast("long")
-    rest = (ns - second * 1_000_000_000).cast("long")
+    second, rest = _floor_div(ns.cast("long"), 1_000_000_000), F.pmod(ns.cast("long"), F.lit(1_000_000_000))
     return F.concat(F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(rest.cast("string"), 9, "0"), F.lit("Z"))
 
 
 def display(ns: Column) -> Column:
     """Weekday, month, day, year and time, for people."""
-    return F.date_format(F.timestamp_seconds(F.floor(ns.cast("decimal(38,0)") / 1_000_000_000).cast("long")), "EEE MMM d yyyy HH:mm:ss")
+    return F.date_format(F.timestamp_seconds(_floor_div(ns.cast("long"), 1_000_000_000)), "EEE MMM d yyyy HH:mm:ss")
 
 
 def parse(text: Column) -> Column:
