@@ -6,8 +6,8 @@ makes runs of blocks independent, so that many runs are coded, and decoded, in s
 
 Reading: the RIFF index lists the frames; each is a baseline JPEG (its own quantizer, Huffman and
 restart segments; one grey component, or three whose first is used at full sampling). Levels are compared through 32-bin
-histograms; a shot begins where the difference to the frame before exceeds the running mean by ``SHARP`` deviations
-of the last ``MEMORY`` differences and ``FLOOR``. Shots give timed clips.
+histograms; a shot begins where the difference to the frame before exceeds ``FLOOR`` and, by ``SHARP`` deviations, the
+mean of the last ``MEMORY`` differences in its shot. Shots give timed clips.
 
 Defined cases: null text counts as empty; an empty text is 64 zero bytes; equal texts give equal
 results whatever the row; repeated rows give repeated results; an empty table gives an empty result;
@@ -409,7 +409,7 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     begins = [0]
     for i, x in enumerate(d):
         if x > FLOOR:
-            past = d[max(0, i - MEMORY) : i]
+            past = d[max(begins[-1], i - MEMORY) : i]
             if len(past) < 2 or x > past.mean() + SHARP * past.std():
                 begins.append(i + 1)
     return [(a, b - 1) for a, b in zip(begins, [*begins[1:], n], strict=True)]
