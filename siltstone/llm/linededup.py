@@ -118,6 +118,7 @@ def cuts(docs: DataFrame, rare_words: int = RARE_WORDS, block_words: int = BLOCK
     long_lines = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= rare_words)
     held = lines.select("id", "h", F.explode(F.array_distinct(F.transform(long_lines, lambda x: x["lines"]))).alias("line"))
     first = held.groupBy("line").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first")
+    first = materialize(first, "line-first")  # a plain join side, so that Spark can split a hot line's rows
     pairs = held.join(first, "line").where(F.struct("id", "h") != F.col("first")).select("id", "h", F.col("first.id").alias("fid"), F.col("first.h").alias("fh")).distinct()
     of_first = lines.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("lines").alias("first_lines"))
     both = pairs.join(of_first, ["fid", "fh"]).join(lines, ["id", "h"])
