@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .windows import running_sum
 
 
-def evict(entries: DataFrame, limit: float, size: str, order: list[Column], first: Column) -> DataFrame:
+def evict(entries: DataFrame, limit: float, size: str, order: list[Column]) -> DataFrame:
     """Entries to drop: by ``order`` (newest first), those before which the sizes already reach ``limit``.
 
     The entry that crosses the limit stays, so at least one does. A limit of 0 is an error."""
     if limit <= 0:
         raise ValueError("the cache needs a size above zero")
-    return running_sum(entries, size, order, first, "__before").where(F.col("__before") >= limit).drop("__before")
+    return running_sum(entries, size, order, "__before").where(F.col("__before") >= limit).drop("__before")

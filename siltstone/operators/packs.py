@@ -70,9 +70,9 @@ def users(refs: DataFrame, chunk: str, snapshot: str) -> DataFrame:
     return refs.groupBy(chunk).agg(F.array_sort(F.collect_set(snapshot)).alias("snapshots"))
 
 
-def bins(manifest: DataFrame, length: str, target: int, order: list[Column], first: Column, out: str = "bin") -> DataFrame:
+def bins(manifest: DataFrame, length: str, target: int, order: list[Column], out: str = "bin") -> DataFrame:
     """Bins by running size: rows fall into the bin of the bytes before them over ``target``."""
-    return running_sum(manifest, length, order, first, "__before").withColumn(out, F.floor(F.col("__before") / target).cast("long")).drop("__before")
+    return running_sum(manifest, length, order, "__before").withColumn(out, F.floor(F.col("__before") / target).cast("long")).drop("__before")
 
 
 def pack_up(blobs: DataFrame, target: int, lanes: int, blob: str = "blob_id", length: str = "length") -> DataFrame:

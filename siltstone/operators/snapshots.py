@@ -78,9 +78,9 @@ def parent(snapshots: DataFrame, paths: list[str], time: str = "time_ns", key: s
     return same.orderBy(F.desc(time), F.desc(key)).limit(1)
 
 
-def repeats(snapshots: DataFrame, tree: str, order: list[Column], first: Column) -> DataFrame:
+def repeats(snapshots: DataFrame, tree: str, order: list[Column]) -> DataFrame:
     """Snapshots whose tree equals that of the one before in time (A, B, A keeps all three)."""
-    marked = previous(snapshots, tree, order, first, "__before")
+    marked = previous(snapshots, tree, order, "__before")
     return marked.where(F.col(tree) == F.col("__before")).drop("__before")
 
 

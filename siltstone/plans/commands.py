@@ -235,8 +235,7 @@ def forget(repo: Repository, selectors: list[str], dry_run: bool = False) -> lis
     every = repo.snapshots()
     wrong: list[str] = []
     if selectors == ["DUPLICATES"]:
-        first = F.col("time_ns")
-        gone = [r["snapshot_id"] for r in snapshots.repeats(every, "tree_id", [F.col("time_ns"), F.col("snapshot_id")], first).select("snapshot_id").collect()]
+        gone = [r["snapshot_id"] for r in snapshots.repeats(every, "tree_id", [F.col("time_ns"), F.col("snapshot_id")]).select("snapshot_id").collect()]
     else:
         gone = []
         for text in selectors:

@@ -479,7 +479,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT snapshot_id FROM (SELECT event_id AS snapshot_id, event_type AS t, lag(event_type) OVER (ORDER BY ts, event_id) AS p FROM events) WHERE t = p")
 def forget_duplicates(spark, sf_dir):
     """Snapshots that repeat the one before"""
-    return snapshots.repeats(_events(spark, sf_dir), "tree_id", [F.col("time_us"), F.col("snapshot_id")], F.col("time_us")).select("snapshot_id")
+    return snapshots.repeats(_events(spark, sf_dir), "tree_id", [F.col("time_us"), F.col("snapshot_id")]).select("snapshot_id")
 
 
 @query("SELECT event_id AS snapshot_id, event_type AS tree_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1 OFFSET 3")
@@ -512,7 +512,7 @@ def selected_snapshots(spark, sf_dir):
 def lru_evict(spark, sf_dir):
     """What a cache of a million drops"""
     rows = _events(spark, sf_dir).select(F.col("snapshot_id").alias("name"), "time_us", F.round(F.col("value") * 100).alias("size"))
-    return cache.evict(rows, 1_000_000, "size", [F.desc("time_us"), F.desc("name")], -F.col("time_us")).select("name", "size")
+    return cache.evict(rows, 1_000_000, "size", [F.desc("time_us"), F.desc("name")]).select("name", "size")
 
 
 @query("""
@@ -524,7 +524,7 @@ def pack_binning(spark, sf_dir):
     """Bins by running size"""
     items = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_quantity").cast("long"))
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    return packs.bins(items, "n", 1000, order, F.col("l_orderkey")).groupBy("bin").agg(F.count(F.lit(1)).alias("blobs"), F.sum("n").alias("bytes"))
+    return packs.bins(items, "n", 1000, order).groupBy("bin").agg(F.count(F.lit(1)).alias("blobs"), F.sum("n").alias("bytes"))
 
 
 @query()

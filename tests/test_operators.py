@@ -26,12 +26,12 @@ def test_selectors(spark):
             snapshots.select(frame, bad)
     assert [r["snapshot_id"] for r in snapshots.select_all(frame, ["LAST", names[0], "HEAD"]).collect()] == [names[0], names[3]]
     assert snapshots.parent(frame, ["p"]).first()["snapshot_id"] == names[3] and snapshots.parent(frame, ["q"]).isEmpty()
-    assert snapshots.repeats(frame, "tree_id", [F.col("time_ns")], F.col("time_ns")).count() == 3
+    assert snapshots.repeats(frame, "tree_id", [F.col("time_ns")]).count() == 3
 
 
 def test_a_b_a_is_no_repeat(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a")], "time_ns long, tree string")
-    assert [r["time_ns"] for r in snapshots.repeats(frame, "tree", [F.col("time_ns")], F.col("time_ns")).collect()] == [4]
+    assert [r["time_ns"] for r in snapshots.repeats(frame, "tree", [F.col("time_ns")]).collect()] == [4]
 
 
 def test_pack_classes(spark):
@@ -100,7 +100,7 @@ def test_restore_rules(spark):
 
 def test_cache_keeps_what_crosses(spark):
     rows = spark.createDataFrame([("foo", 1, 4), ("baz", 2, 3)], "name string, t long, size long")
-    gone = lambda n: [r["name"] for r in cache.evict(rows, n, "size", [F.desc("t")], -F.col("t")).collect()]
+    gone = lambda n: [r["name"] for r in cache.evict(rows, n, "size", [F.desc("t")]).collect()]
     assert gone(3) == ["foo"] and gone(1) == ["foo"] and gone(4) == [] and gone(100) == []
     with pytest.raises(ValueError):
         gone(0)
@@ -109,16 +109,15 @@ def test_cache_keeps_what_crosses(spark):
 def test_ranges_do_not_change_running_sums(spark, monkeypatch):
     monkeypatch.setattr(windows, "RANGE_ROWS", 7)
     frame = spark.range(100).select(F.pmod(F.xxhash64("id"), F.lit(30)).alias("k"), "id", (F.col("id") % 5).alias("v"))
-    ranged = windows.with_range(frame, F.col("k"), 7)
-    assert ranged.select("__r").distinct().count() > 3
-    monkeypatch.setattr(windows.with_range, "__defaults__", (7,))
-    got = windows.running_sum(frame, "v", [F.col("k"), F.col("id")], F.col("k"), "s").collect()
+    order = [F.col("k"), F.col("id")]
+    assert windows.with_range(frame, order).select("__r").distinct().count() > 3
+    got = windows.running_sum(frame, "v", order, "s").collect()
     total = 0
     for r in sorted(got, key=lambda r: (r["k"], r["id"])):
         assert r["s"] == total
         total += r["v"]
     before = None
-    for r in sorted(windows.previous(frame, "v", [F.col("k"), F.col("id")], F.col("k"), "p").collect(), key=lambda r: (r["k"], r["id"])):
+    for r in sorted(windows.previous(frame, "v", order, "p").collect(), key=lambda r: (r["k"], r["id"])):
         assert r["p"] == before
         before = r["v"]
 
