@@ -292,6 +292,21 @@ def rebuild_index(repo: Repository, dry_run: bool = False) -> str | None:
     return name
 
 
+def resume(repo: Repository, dry_run: bool = False) -> DataFrame:
+    """Take up what an interrupted run left: packs that are there, whole, and in no index get one, so that the next run
+    finds their blobs stored. Packs that repeat an indexed blob are left to prune. Returns the packs taken up (pack_id)."""
+    manifest, blobs = repo.manifest(), repo.blobs()
+    left = packs.missing(repo.pack_names(), manifest, "pack_id")
+    entries = blobs.join(left, "pack_id", "left_semi").select("pack_id", "seq", F.col("kind").alias("blob_type"), "length", "blob_id")
+    written = repo.spark.createDataFrame([(n.split("=", 1)[1],) for n in objects.child_names(repo.spark, f"{repo.root}/trees") if "=" in n], "pack_id string")
+    half = packs.missing(entries.where("blob_type = 'tree'"), written, "pack_id")
+    again = entries.join(manifest.select("blob_id"), "blob_id", "left_semi").select("pack_id")
+    whole = materialize(entries.join(half.union(again).distinct(), "pack_id", "left_anti"), "resume")
+    if not dry_run:
+        repo.write_index(whole)
+    return whole.select("pack_id").distinct()
+
+
 def restore_snapshot(repo: Repository, selector: str, output: str | None = None, delete: bool = False, times: bool = False, permissions: bool = False, dry_run: bool = False) -> DataFrame:
     """Bring the file system to a snapshot; returns the actions (parts, code, kind, target, place).
 

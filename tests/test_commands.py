@@ -208,6 +208,9 @@ def test_resume_skips_what_is_stored(repo, work):
     src = str(work / "src")
     commands.backup(repo, [src])
     shutil.rmtree(work / "repo" / "snapshots")  # as if interrupted before the commit
+    shutil.rmtree(work / "repo" / "indexes")
+    assert commands.check(repo)["unindexed_packs"].count() == 2
+    assert commands.resume(repo).count() == 2 and commands.resume(repo).count() == 0
     again = commands.backup(repo, [src])
     assert again["snapshot"] and again["chunk_bytes"] == 0 and again["tree_bytes"] == 0
 

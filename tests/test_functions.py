@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import cbor, ids, kinds, paths, sizes, times
 from siltstone.operators import chunking
+from siltstone.sources import config
 
 SENTENCE = "Developers, developers, developers, developers!"
 
@@ -88,6 +89,18 @@ def test_times(spark):
     assert one(spark, F.unix_micros(times.to_timestamp(F.lit(moment)))) == moment // 1000
 
 
+def test_settings(tmp_path):
+    main, local = tmp_path / "main.toml", tmp_path / "local.toml"
+    main.write_text('cache_size = "2 GB"\nskips = ["a"]\n[backup]\ndereference = true\n[restore]\noutput = "x"\n')
+    assert config.load(None) == config.Settings() and config.load(main, local) == config.Settings(2 * 10**9, ["a"], True, "x")
+    local.write_text('cache_size = 5\nskips = ["b"]\n')
+    both = config.load(main, local)
+    assert both == config.Settings(2 * 10**9, ["b"], True, "x") and both.skips_with(["c", "b"]) == ["b", "c"]
+    assert config.load(None, local).skips == ["b"] and config._bytes("1 GiB") == 1 << 30
+    with pytest.raises(ValueError):
+        config._bytes("lots")
+
+
 def test_kinds(spark):
     for mode, kind in ((0o100644, "file"), (0o040755, "directory"), (0o120777, "symlink"), (0o140777, None), (0o020666, None)):
         assert one(spark, kinds.kind_of_mode(F.lit(mode))) == kind
