@@ -229,6 +229,7 @@ def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     texts = materialize(texts, "near-texts")
     count = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).select("rep", F.expr(f"(c + {STAR - 1}) div {STAR}").alias("chunks"))
+    count = materialize(count, "near-stars")  # a plain join side, so that Spark can split a hot star's rows
     stars = pairs.join(count, "rep").select("rep", "id", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
     heads = count.select("rep", F.col("rep").alias("id"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
     with_text = stars.unionByName(heads).join(texts, "id")
