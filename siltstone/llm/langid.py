@@ -15,6 +15,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,11 +149,28 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
         share = F.when(F.col("lang") == x, min(1.0, per_lang / counts[x])).otherwise(share)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < share * 1_000_000
     begin = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1))
-    rows = known.where(drawn).select("doc_id", "lang", F.substring("text", begin.cast("int"), F.lit(EXCERPT)).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = known.where(drawn).select("doc_id", "lang", F.substring("text", begin.cast("int"), F.lit(EXCERPT)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            data = io.BytesIO()
+            net = _fit_texts(pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")]), langs)
+            np.savez(data, net.embed, net.kernel, net.bias, net.out, net.out_bias)
+            yield pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], names=["net"])
+
+    # The bounded sample is fitted in one task, where numpy has one thread: many would slow such small products.
+    fitted = rows.repartition(1).mapInArrow(run, "net binary").first()
+    if fitted is None:
+        return None
+    return Network(langs, *np.load(io.BytesIO(fitted["net"])).values())
+
+
+def _fit_texts(rows: pa.Table, langs: list[str]) -> Network:
     data, offsets = buffers(rows.column("text"))
     number = {x: i for i, x in enumerate(langs)}
     own = np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64)
-    windows, first, used = windows_of(data, offsets)
+    windows, first, _ = windows_of(data, offsets)
     keep = [w for i in range(len(own)) for w in np.linspace(first[i], first[i + 1] - 1, min(WINDOWS, first[i + 1] - first[i])).astype(int)]
     text = np.searchsorted(first, keep, "right") - 1
     return fit(windows[keep], own[text], langs)
