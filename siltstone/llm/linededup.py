@@ -5,7 +5,9 @@ partner to every later holder: the first document that holds it (least doc_id).
 very many documents proposes as many pairs as it has holders, never all pairs, and none is capped.
 Each pair is aligned by patience diff on line hashes: lines unique in both, their longest rising
 sequence, then the gaps between them and equal lines at their ends. Aligned runs of at least
-``BLOCK_WORDS`` words are deleted from the later document.
+``BLOCK_WORDS`` words are deleted from the later document. One rising order leaves out repeats and blocks
+in another order, so what is left is held against the partner again, wherever it stands: every run of the later
+document of that many words which the partner holds goes, each time it occurs.
 
 Defined cases: null text stays null; a text whose lines are all deleted becomes empty; rows that share
 doc_id are ordered by a hash of their text, and exact repeats of a row count as one document
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .textbytes import buffers, line_spans, slices
+from .textbytes import buffers, line_spans, slices, span_hashes
 
 RARE_WORDS = 8
 BLOCK_WORDS = 8
@@ -78,8 +80,33 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(lines: np.ndarray, words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest runs of at least ``least`` words from each line and up to each line of
+    the texts whose first lines are ``first`` (n + 1 offsets). Those inside a longer run cover all of it."""
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    own = np.diff(first)
+    at = np.arange(len(lines))
+    e = np.searchsorted(sums, sums[:-1] + least, "left")
+    s = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    forward = e <= np.repeat(first[1:], own)
+    backward = s >= np.repeat(first[:-1], own)
+    backward[backward] = e[s[backward]] != at[backward] + 1  # else it is that line's own already
+    s, e = np.concatenate([at[forward], s[backward]]), np.concatenate([e[forward], at[backward] + 1])
+    return s, e, span_hashes(lines, s, e)
+
+
+def held_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Lines of ``b`` in any run of at least ``least`` words that ``a`` holds too."""
+    known = dict(zip(b, words, strict=True))
+    words_a = [known.get(x, least) for x in a]  # a run with a line that only ``a`` holds is none of ``b``'s
+    (_, _, in_a), (s, e, in_b) = (windows(np.array(x, np.int64).view(np.uint64), np.array(w, np.int64), np.array([0, len(x)]), least) for x, w in ((a, words_a), (b, words)))
+    both = np.isin(in_b, in_a)
+    steps = np.bincount(s[both], minlength=len(b) + 1) - np.bincount(e[both], minlength=len(b) + 1)
+    return np.flatnonzero(np.cumsum(steps)[:-1]).tolist()
+
+
 def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Lines of ``b`` in aligned runs of at least ``least`` words."""
+    """Lines of ``b`` in runs of at least ``least`` words that ``a`` holds: aligned ones, then all others."""
     out, run = [], []
     for i, j in [*patience(a, b), (-9, -9)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
@@ -87,6 +114,9 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> li
                 out += [y for _, y in run]
             run = []
         run.append((i, j))
+    in_a, gone = set(a), set(out)
+    if any(x in in_a for j, x in enumerate(b) if j not in gone):
+        out = held_lines(a, b, words, least)
     return out
 
 

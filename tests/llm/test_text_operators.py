@@ -293,6 +293,28 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def runs_held(earlier, later, words, least):
+    """Brute force: lines of ``later`` in a run of ``least`` words that one of ``earlier`` holds."""
+    out = set()
+    for i, j in itertools.combinations(range(len(later) + 1), 2):
+        run = later[i:j]
+        if sum(words[x] for x in run) >= least and any(run == a[k : k + j - i] for a in earlier for k in range(len(a))):
+            out |= set(range(i, j))
+    return out
+
+
+def test_common_lines_against_brute_force():
+    x, y = 1, 2
+    assert linededup.common_lines([x, 7], [8, x, 9, x], [1, 9, 1, 9], 8) == [1, 3]  # the later document repeats
+    assert linededup.common_lines([x, 7, x], [8, x, 9], [1, 9, 1], 8) == [1]  # the first holder repeats
+    assert linededup.common_lines([x, 7, y], [y, 8, x], [9, 1, 9], 8) == [0, 2]  # in another order
+    rng = random.Random(1)
+    for _ in range(500):
+        words = [rng.choice([0, 1, 3, 5, 9]) for _ in range(6)]
+        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 10))] for _ in range(2))
+        assert set(linededup.common_lines(a, b, [words[x] for x in b], 8)) == runs_held([a], b, words, 8)
+
+
 # -- classifiers
 
 
