@@ -1,8 +1,10 @@
 """Line deduplication by pairwise alignment.
 
-Lines of ``RARE_WORDS`` or more words are hashed. Each such line that several documents hold proposes one
-partner to every later holder: the first document that holds it (least doc_id). So a line held by
-very many documents proposes as many pairs as it has holders, never all pairs, and none is capped.
+Runs of consecutive lines that together reach ``BLOCK_WORDS`` words, the shortest from and up to each line, are
+hashed. Each such run that several documents hold proposes one partner to every later holder: the first
+document that holds it (least doc_id). So a run held by very many documents proposes as many pairs as it has
+holders, never all pairs. As a pair loses every run that both hold, in whatever order, other partners could add
+nothing: exactly the lines go that stand in a run of that many words which any earlier document holds.
 Each pair is aligned by patience diff on line hashes: lines unique in both, their longest rising
 sequence, then the gaps between them and equal lines at their ends. Aligned runs of at least
 ``BLOCK_WORDS`` words are deleted from the later document. One rising order leaves out repeats and blocks
@@ -30,7 +32,6 @@ from pyspark.sql import types as T
 from .common import materialize
 from .textbytes import buffers, line_spans, slices, span_hashes
 
-RARE_WORDS = 8
 BLOCK_WORDS = 8
 _NULL_ID = 2**63 - 1
 
@@ -120,14 +121,27 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> li
     return out
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(lines: np.ndarray, words: np.ndarray, first: np.ndarray, least: int) -> pa.ListArray:
+    """Each text's distinct hashes of runs of lines."""
+    s, _, keys = windows(lines, words, first, least)
+    text = np.searchsorted(first, s, "right") - 1
+    order = np.lexsort([keys, text])
+    keys, text = keys[order], text[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    at = np.searchsorted(text[new], np.arange(len(first)))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys[new].view(np.int64)))
+
+
+def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for a, b in slices(offsets):
             hashes, words, first = line_spans(data, offsets[a : b + 1])
             at = pa.array(first.astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(words.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("h")[a:b], *lists], names=["id", "h", "lines", "words"])
+            runs = _runs(hashes, words, first, least)
+            yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("h")[a:b], *lists, runs], names=["id", "h", "lines", "words", "runs"])
 
 
 def _align(least: int):
@@ -140,18 +154,17 @@ def _align(least: int):
     return run
 
 
-def cuts(docs: DataFrame, rare_words: int = RARE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, h, cut): the numbers of the lines to delete, for documents that lose any."""
     keyed = docs.where("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("h"), "text")
-    lines = keyed.mapInArrow(_lines, "id long, h long, lines array<long>, words array<int>").dropDuplicates(["id", "h"])
+    lines = keyed.mapInArrow(lambda batches: _lines(batches, block_words), "id long, h long, lines array<long>, words array<int>, runs array<long>").dropDuplicates(["id", "h"])
     lines = materialize(lines, "lines")
-    long_lines = F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= rare_words)
-    held = lines.select("id", "h", F.explode(F.array_distinct(F.transform(long_lines, lambda x: x["lines"]))).alias("line"))
-    first = held.groupBy("line").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("line", "first")
-    first = materialize(first, "line-first")  # a plain join side, so that Spark can split a hot line's rows
-    pairs = held.join(first, "line").where(F.struct("id", "h") != F.col("first")).select("id", "h", F.col("first.id").alias("fid"), F.col("first.h").alias("fh")).distinct()
+    held = lines.select("id", "h", F.explode("runs").alias("run"))
+    first = held.groupBy("run").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
+    first = materialize(first, "line-first")  # a plain join side, so that Spark can split a hot run's rows
+    pairs = held.join(first, "run").where(F.struct("id", "h") != F.col("first")).select("id", "h", F.col("first.id").alias("fid"), F.col("first.h").alias("fh")).distinct()
     of_first = lines.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("lines").alias("first_lines"))
-    both = pairs.join(of_first, ["fid", "fh"]).join(lines, ["id", "h"])
+    both = pairs.join(of_first, ["fid", "fh"]).join(lines.drop("runs"), ["id", "h"])
     cut = both.select("id", "h", "first_lines", "lines", "words").mapInArrow(_align(block_words), "id long, h long, cut array<int>")
     cut = cut.where(F.size("cut") > 0).groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     return materialize(cut, "line-cuts")
@@ -177,10 +190,10 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(batch.num_columns - 1)]))
 
 
-def dedup_lines(docs: DataFrame, rare_words: int = RARE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of ``docs`` with aligned common blocks deleted, and two more columns: __lines (lines before)
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of ``docs`` with common blocks deleted, and two more columns: __lines (lines before)
     and __removed (lines deleted)."""
-    cut = cuts(docs, rare_words, block_words)
+    cut = cuts(docs, block_words)
     keyed = docs.withColumn("__id", _id()).withColumn("__h", F.xxhash64("text"))
     joined = keyed.join(cut.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("cut").alias("__cut")), ["__id", "__h"], "left")
     lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")

@@ -315,6 +315,21 @@ def test_common_lines_against_brute_force():
         assert set(linededup.common_lines(a, b, [words[x] for x in b], 8)) == runs_held([a], b, words, 8)
 
 
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = ["", *(" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate([1, 2, 3, 3, 5, 5, 7, 9, 12]))]
+    words = {x: size_of(x) for x in vocabulary}
+    docs = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 7))] for _ in range(40)]
+    long, short = vocabulary[-1], vocabulary[1]
+    docs += [["p", long, "q"], ["r", short, long, "s"], ["t", short, long, "u"]]  # the long line's first holder lacks the run
+    docs += [["v", *vocabulary[2:5], "x"], ["y", *vocabulary[2:5], "z"]]  # short lines only
+    words |= dict.fromkeys("pqrstuvxyz", 1)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, [(i, "\n".join(d), "en", "a") for i, d in enumerate(docs)])).collect()}
+    for i, d in enumerate(docs):
+        gone = runs_held(docs[:i], d, words, linededup.BLOCK_WORDS)
+        assert got[i] == "\n".join(x for j, x in enumerate(d) if j not in gone)
+
+
 # -- classifiers
 
 
