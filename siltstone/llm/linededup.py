@@ -3,7 +3,7 @@
 Runs of consecutive lines that together reach ``BLOCK_WORDS`` words, the shortest from and up to each line, are
 hashed. Each such run that several documents hold proposes one partner to every later holder: the first
 document that holds it (least doc_id). So a run held by very many documents proposes as many pairs as it has
-holders, never all pairs. As a pair loses every run that both hold, in whatever order, other partners could add
+holders, never all pairs. Words of scripts without spaces count by characters. As a pair loses every run that both hold, in whatever order, other partners could add
 nothing: exactly the lines go that stand in a run of that many words which any earlier document holds.
 Each pair is aligned by patience diff on line hashes: lines unique in both, their longest rising
 sequence, then the gaps between them and equal lines at their ends. Aligned runs of at least

@@ -85,9 +85,29 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mixed((sums[e] - sums[s]) * _powers(_INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
 
 
+#: Blocks of scripts written without spaces: Thai and Lao, Myanmar, Khmer, kana, Han and its further planes.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where the characters (by their first bytes) of scripts without spaces start."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(data >= 0xE0)
+    more = [np.append(data[k:], np.zeros(k, np.uint8))[at].astype(np.int64) & 0x3F for k in (1, 2, 3)]
+    lead = data[at].astype(np.int64)
+    code = ((lead & 0x0F) << 12) | (more[0] << 6) | more[1]
+    code = np.where(lead >= 0xF0, ((lead & 0x07) << 18) | (more[0] << 12) | (more[1] << 6) | more[2], code)
+    found = np.zeros(len(at), bool)
+    for a, b in _UNSPACED:
+        found |= (code >= a) & (code <= b)
+    out[at] = found
+    return out
+
+
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All lines (between newlines) of a slice of texts: 64-bit hashes, numbers of words, and each
-    text's first line (n + 1 offsets); an empty text has one empty line."""
+    text's first line (n + 1 offsets); an empty text has one empty line. A word with characters of
+    scripts without spaces counts as that many words."""
     own, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     newline = np.flatnonzero(own == 10)
     order = np.argsort(np.concatenate([2 * at[1:], 2 * newline + 1]), kind="stable")
@@ -95,8 +115,13 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     by_newline = order >= len(at) - 1
     s = np.concatenate([[0], e[:-1] + by_newline[:-1]]) if len(e) else e
     first = np.concatenate([[0], np.flatnonzero(~by_newline) + 1])
-    _, word, _, _ = word_spans(data, offsets)
-    count = np.searchsorted(word, e) - np.searchsorted(word, s)
+    _, word, end, _ = word_spans(data, offsets)
+    weight = np.ones(len(word), np.int64)
+    if (own >= 0xE0).any():
+        characters = np.concatenate([[0], np.cumsum(unspaced(own))])
+        weight = np.maximum(weight, characters[end] - characters[word])
+    sums = np.concatenate([[0], np.cumsum(weight)])
+    count = sums[np.searchsorted(word, e)] - sums[np.searchsorted(word, s)]
     return span_hashes(own, s, e), count, first
 
 

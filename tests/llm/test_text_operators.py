@@ -330,6 +330,16 @@ def test_line_dedup_against_brute_force(spark):
         assert got[i] == "\n".join(x for j, x in enumerate(d) if j not in gone)
 
 
+def test_line_dedup_of_scripts_without_spaces(spark):
+    for passage in ("床前明月光疑是地上霜", "いろはにほへとちりぬるを", "กขฃคฅฆงจฉช", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇", "床前明月\n光疑是地\n上霜"):
+        rows = [(1, f"a\n{passage}\nb", "zh", "a"), (2, f"c\n{passage}\nd", "zh", "a")]
+        got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+        assert got == {1: rows[0][1], 2: "c\nd"}
+    texts = ["one two 三四五 é", "한국어 한국어", "東京x\n\nab", ""]
+    data, offsets = textbytes.buffers(pa.array(texts))
+    assert textbytes.line_spans(data, offsets)[1].tolist() == [6, 2, 2, 0, 1, 0]
+
+
 # -- classifiers
 
 
