@@ -609,7 +609,7 @@ def reassemble_file(spark, sf_dir):
 @query()
 def cat_json(spark, sf_dir):
     """Rows as JSON"""
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 100").select("l_orderkey", F.to_json(F.struct(F.lit("chunk").alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").alias("id"))).alias("json"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_json(F.struct(F.lit("chunk").alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").alias("id"))).alias("json"))
 
 
 @query("""

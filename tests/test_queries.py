@@ -36,3 +36,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 3
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cat_json_gives_every_row(spark):
+    rows = QUERIES["cat_json"](spark, FOLDER)
+    assert rows.count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
