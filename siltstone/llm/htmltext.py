@@ -7,7 +7,9 @@ bullets and numbers for lists with indents, and table cells padded to common col
 
 Visibility: script, style, head, template and the like; the ``hidden`` attribute; closed details and
 dialogs; hidden inputs; ``display:none`` and ``visibility:hidden``, inline or by simple selectors (tag, .class,
-#id) of the page's own style elements. Rules ``margin:0`` for a tag take its blank lines away.
+#id) of the page's own style elements. Rules ``margin:0`` for a tag take its blank lines away. Rules of media
+that are not a screen of ``WIDTH`` pixels, or whose conditions are not known here (other than widths), hide nothing.
+Text that stands in a table outside its cells goes before the table, as in browsers.
 
 Defined cases: null html gives null text; empty html gives an empty text; unclosed comments, tags and
 quotes run as text or to the end, never fail; elements nested deeper than ``DEPTH`` are rendered without
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 DEPTH = 256
+WIDTH = 1280
 
 # Fixed lists of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,11 +50,16 @@ IMPLIED = {
     "tbody": (frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}), frozenset({"table"})),
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
+ROWS = frozenset("table thead tbody tfoot tr colgroup".split())  # text right inside is none of a table's
 SCOPES = frozenset({"table", "td", "th", "caption", "html"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_MEDIA = re.compile(r"@media\b([^{};]*)\{", re.I)
+_QUERY = re.compile(r"\s*(?:(not|only)\s+)?([a-z]+)?\s*((?:(?:and\s*)?\([^()]*\)\s*)*)", re.I)
+_CONDITION = re.compile(r"\(([^()]*)\)")
+_WIDTHS = re.compile(r"\s*(min|max)-width\s*:\s*(\d+(?:\.\d+)?|\.\d+)\s*(px|r?em)?\s*", re.I)
 _SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -83,7 +91,7 @@ def parse(source: str) -> tuple[Element, list[str]]:
         if not tag:
             text = m[0]
             if text[0] != "<" or text == "<":
-                stack[-1].children.append(html.unescape(text) if "&" in text else text)
+                _text(stack, html.unescape(text) if "&" in text else text)
             continue
         tag = tag.lower()
         if m[1] or m[4]:
@@ -109,7 +117,7 @@ def parse(source: str) -> tuple[Element, list[str]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else n]
             at = end.end() if end else n
-            if tag == "style":
+            if tag == "style" and on_screen(element.get("media") or ""):
                 styles.append(body)
             element.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             stack[-1].children.append(element)
@@ -118,6 +126,16 @@ def parse(source: str) -> tuple[Element, list[str]]:
     return root, styles
 
 
+def _text(stack: list[Element], text: str) -> None:
+    """Add a text; one that is not blank and stands between a table's cells goes before the table."""
+    if stack[-1].tag in ROWS and _SPACE.sub("", text):
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                stack[i - 1].children.insert(-1, text)  # an open table is its parent's last child
+                return
+    stack[-1].children.append(text)
+
+
 def _open(stack: list[Element], element: Element) -> None:
     stack[-1].children.append(element)
     if len(stack) < DEPTH:
@@ -136,6 +154,48 @@ def _close(stack: list[Element], tag: str, quiet: bool = False) -> None:
         stack[-1].children.append(Element("p", ""))
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries surely holds for a screen of ``WIDTH`` pixels."""
+    return any(_holds(query) for query in media.split(","))
+
+
+def _holds(query: str) -> bool:
+    m = _QUERY.fullmatch(query)
+    if not m:
+        return False
+    right = (m[2] or "all").lower() in ("all", "screen")
+    if (m[1] or "").lower() == "not":
+        return not right
+    for condition in _CONDITION.findall(m[3]):
+        w = _WIDTHS.fullmatch(condition)
+        if not w:
+            return False
+        width = float(w[2]) * (16 if "em" in (w[3] or "").lower() else 1)
+        right = right and (WIDTH >= width if w[1].lower() == "min" else WIDTH <= width)
+    return right
+
+
+def for_screen(style: str) -> str:
+    """A style sheet without the @media blocks that are not for the screen."""
+    out, at = [], 0
+    while m := _MEDIA.search(style, at):
+        out.append(style[at : m.start()])
+        at = m.end()
+        if not on_screen(m[1]):
+            depth = 1
+            for brace in re.finditer(r"[{}]", style[at:]):
+                depth += 1 if brace[0] == "{" else -1
+                if not depth:
+                    at += brace.end()
+                    break
+            else:
+                at = len(style)
+        else:
+            out.append("}")  # its rules follow on their own
+    out.append(style[at:])
+    return "".join(out)
+
+
 class Rules:
     """What the page's own style rules hide or set flat."""
 
@@ -143,7 +203,7 @@ class Rules:
         self.hidden: set[str] = set()
         self.flat: set[str] = set()
         for style in styles:
-            for selectors, body in _RULE.findall(style):
+            for selectors, body in _RULE.findall(for_screen(style)):
                 for selector in selectors.split(","):
                     selector = selector.strip()
                     if _SIMPLE.fullmatch(selector):
@@ -237,6 +297,7 @@ def render(root: Element, rules: Rules) -> str:
                     tables[-1].append([])
                 tables[-1][-1].append((lines, min(1000, int(span)) if span and span.isdigit() and int(span) else 1))
             elif tag == "table":
+                box.end()
                 for line in aligned(tables.pop()):
                     box.put(line)
                 box.space(1)
@@ -301,8 +362,8 @@ def render(root: Element, rules: Rules) -> str:
                 box.indent.append(" " * len(mark))
             elif tag in ("blockquote", "dd"):
                 box.indent.append("    ")
-        if tag in ("tr", "tbody", "thead", "tfoot", "colgroup"):
-            children = [c for c in children if not isinstance(c, str)]
+        if tag in ROWS:
+            children = [c for c in children if not isinstance(c, str) or _SPACE.sub("", c)]
         todo += [(c, False) for c in reversed(children)]
     box.end()
     return "\n".join(boxes[0].lines).strip("\n")

@@ -207,6 +207,22 @@ def test_html(source):
     assert htmltext.visible_text(source) == PAGES[source]
 
 
+def test_html_stray_table_text_and_media():
+    text = htmltext.visible_text
+    assert text("<p>x</p><table>one<tr>two<td>a<td>b</tr>three</table>y") == "x\n\nonetwothree\n\na  b\n\ny"
+    assert text("<table><tbody>s<tr><td>a</td>&amp;</tr></tbody><thead>t</thead><tfoot>u</table>") == "s&tu\n\na"
+    assert text("<table><tr><td>o<table>in<tr><td>a</table></table>") == "oin\n\na"
+    assert text("<table style='display:none'>seen<tr><td>unseen</table>") == "seen"
+    assert text("<tr>alone") == "alone"
+    page = "<style>{}</style><p class=nav>nav</p><p>text</p>"
+    hide = ".nav{display:none}"
+    for css in (f"@media print{{{hide}}}", f"@media print{{p{{color:red}}{hide}}}", f"@media not screen{{{hide}}}", f"@media (max-width:600px){{{hide}}}", f"@media print{{@supports (x:y){{{hide}}}}}", f"@media print{{{hide}"):
+        assert text(page.format(css)) == "nav\n\ntext", css
+    for css in (hide, f"@media screen{{{hide}}}", f"@media print, screen{{{hide}}}", f"@media only screen and (min-width: 40em){{{hide}}}", f"@media print{{p{{display:none}}}}{hide}", f"@media not print{{{hide}}}", f"@media screen{{b{{color:red}}}}{hide}"):
+        assert text(page.format(css)) == "text", css
+    assert text("<style media=print>.nav{display:none}</style><p class=nav>nav") == "nav"
+
+
 def test_html_never_fails_and_keeps_visible_words():
     rng = random.Random(6)
     bits = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<b>", "</b>", "<div", ">", "<", "\"", "'", "&", "&#x41;", "<!--", "-->", "<pre>", "</pre>", "word", " ", "\n", "<td colspan=99999999>", "</td>", "<br>", "<hr>", "<caption>", "<dd>", "<a href='", "</html>", "<select><option>"]
