@@ -1,30 +1,34 @@
 """Near-duplicate detection: MinHash bands for candidates, odd sketches to verify them, full sets to confirm.
 
-1. One pass over whole texts gives each document's shingle-set digest, its band keys (``BANDS`` bands of
+1. One pass over whole texts gives each row's shingle-set digest, its band keys (``BANDS`` bands of
    ``ROWS`` MinHash values) and an odd sketch: a bitmap whose bit h(i, value i) flips for each of the
    samples. The XOR of two sketches counts differing samples, which estimates the similarity.
-2. Documents with equal sets form a class; only its least id goes on.
-3. Star round: in each band bucket, members pair with the bucket's least id. Pairs whose sketches
+2. Rows with equal sets form a class, named by the number of its first row; only that row goes on.
+3. Star round: in each band bucket, members pair with the bucket's least. Pairs whose sketches
    estimate the threshold less ``MARGIN`` are confirmed on full sets; components follow.
-4. Exact rest: in buckets that still hold several components, all pairs between components are compared
-   by sketch inside tasks of bounded blocks, and those that pass are confirmed on full sets. Only
-   spanning links leave a task, so output is linear in the members, and no partner is capped.
+4. Exact rest: buckets that still hold several components are cut into groups of sets whose sizes allow the
+   threshold at all. In each group all pairs between components are compared by sketch, ids and sketches only; a group
+   of more than ``BLOCK`` members goes by pairs of half blocks. What passes is packed into parts bounded in
+   rows and shingles, and pairs of parts are confirmed on full sets. Only spanning links between components
+   leave a task, so output is linear in the members, and no partner is capped.
 
 With 32 bands of 4 values, a pair at similarity 0.85 (0.8) shares no bucket with probability 6e-11
 (5e-8); the margin is over five standard deviations of the sketch's estimate.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; rows
-that share a doc_id are one node; rows with null doc_id are not linked (component null, kept);
-repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
+that share a doc_id are one node, linked by each of their texts; rows with null doc_id are not linked (component
+null, kept); repeated rows give repeated results; a very long text is hashed by pieces and its set must fit in a
+task; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -35,8 +39,10 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 BITS = 256
 MARGIN = 0.2
-#: Members of a bucket that are compared in one task, and partners of one star that are.
-BLOCK, STAR = 1024, 512
+#: Members of a group that one task compares by sketch, and partners of one star that are confirmed in one.
+BLOCK, STAR = 4096, 512
+#: Rows and shingles of a part; a task confirms two parts (a set of more shingles is a part of its own).
+PART_ROWS, PART_SHINGLES = 512, 1 << 20
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
@@ -79,12 +85,12 @@ def most_differing_bits(threshold: float) -> int:
 
 
 def _signed(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            keys = [batch.column(c) for c in ("row", "doc_id", "h")]
             for a, b in slices(offsets):
                 values, at = shingle_sets(data, offsets[a : b + 1], k)
                 sizes = np.diff(at)
@@ -101,14 +107,19 @@ def _signed(k: int):
                     sketch[full] = odd_sketches(samples)
                     lists[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[a:b], pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(bands.reshape(-1))), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]],
+                    [
+                        *[c[a:b] for c in keys],
+                        *[pa.array(x) for x in (sizes, d1.view(np.int64), d2.view(np.int64))],
+                        pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(bands.reshape(-1))),
+                        *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))],
+                    ],
                     schema=schema,
                 )
 
     return run
 
 
-SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+SIGNED = "row long, doc_id long, h long, n long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -144,22 +155,53 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def _near(sketch: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs of rows differ in at most ``most`` bits."""
-    z = np.zeros((len(sketch), len(sketch)), np.uint16)
-    for i in range(sketch.shape[1]):
-        z += _bits(sketch[:, None, i] ^ sketch[None, :, i])
-    return z <= most
+def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs of rows of ``x`` and ``y`` differ in at most ``most`` bits."""
+    out = np.empty((len(x), len(y)), bool)
+    for a in range(0, len(x), 256):
+        z = np.zeros((len(x[a : a + 256]), len(y)), np.uint16)
+        for i in range(x.shape[1]):
+            z += _bits(x[a : a + 256, i, None] ^ y[None, :, i])
+        out[a : a + 256] = z <= most
+    return out
 
 
-def _candidates(most: int):
-    """Members of one block of a bucket that are near, by sketch, to a member of another component."""
+def parts_of(sizes: np.ndarray) -> list[np.ndarray]:
+    """Consecutive numbers in parts of at most PART_ROWS rows and PART_SHINGLES shingles, or of one row."""
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first >= PART_ROWS or held + n > PART_SHINGLES):
+            out.append(np.arange(first, i))
+            first, held = i, 0
+        held += n
+    return [*out, np.arange(first, len(sizes))]
+
+
+def _candidates(most: int, percent: int):
+    """Members of one block of a group that are near, by sketch, to a member of another component, by pairs of parts."""
+    names = ["key", "cell", "block", "id", "component", *SKETCH]
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("component", "ascending"), ("id", "ascending")])
         sketch = np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1)
-        comp = table.column("component").to_numpy()
-        near = _near(sketch, most) & (comp[:, None] != comp[None, :])
-        return table.filter(pa.array(near.any(axis=1))).select(["key", "block", "id", "component", *SKETCH])
+        comp, n, own = (table.column(c).to_numpy() for c in ("component", "n", "own_cell"))
+        near = _near(sketch, sketch, most)
+        np.logical_and(near, comp[:, None] != comp[None, :], out=near)
+        np.logical_and(near, 100 * n[:, None] >= percent * n[None, :], out=near)
+        np.logical_and(near, near.T.copy(), out=near)
+        here = own == table.column("cell")[0].as_py()
+        near[np.ix_(~here, ~here)] = False  # those meet in a cell of their own
+        some = np.flatnonzero(near.any(axis=1))
+        parts = [some[p] for p in parts_of(n[some])] if len(some) else []
+        rows, pair = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, p in enumerate(parts):
+            for j, q in enumerate(parts[: i + 1]):
+                meet = near[np.ix_(p, q)]
+                found = np.union1d(p[meet.any(axis=1)], q[meet.any(axis=0)])
+                rows.append(found)
+                pair.append(np.full(len(found), i * (i + 1) // 2 + j))
+        out = table.select(names).take(pa.array(np.concatenate(rows)))
+        return out.append_column("pair", pa.array(np.concatenate(pair).astype(np.int64)))
 
     return run
 
@@ -175,7 +217,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     rows, cols = rows[use], column[inverse[use]]
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
-    total, width = np.zeros((n, n), np.float32), 2048
+    total, width = np.zeros((n, n)), 2048  # a product of so few columns is exact in float32
     for first in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(cols, [first, first + width])
         part = np.zeros((n, width), np.float32)
@@ -185,10 +227,10 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirm_rest(k: int, percent: int, most: int):
-    """Spanning links between components among the members of one block, confirmed on full sets."""
+    """Spanning links between components among the members of one pair of parts, confirmed on full sets."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
+        comp = table.column("component").to_numpy()
         data, offsets = buffers(table.column("text"))
         sets = []
         for a, b in slices(offsets):
@@ -196,67 +238,119 @@ def _confirm_rest(k: int, percent: int, most: int):
             sets += [values[at[i] : at[i + 1]] for i in range(b - a)]
         size = np.array([len(s) for s in sets], np.float64)
         sketch = np.stack([table.column(s).to_numpy() for s in SKETCH], axis=1)
-        both = _overlaps(sets).astype(np.float64)
-        link = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :]) & _near(sketch, most)
-        label = np.arange(len(ids))
+        both = _overlaps(sets)
+        link = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :]) & _near(sketch, sketch, most)
+        label = np.arange(len(comp))
         while True:
-            low = np.minimum(label, np.where(link, label[None, :], len(ids)).min(axis=1, initial=len(ids)))
+            low = np.minimum(label, np.where(link, label[None, :], len(comp)).min(axis=1, initial=len(comp)))
             if (low == label).all():
                 break
             label = low
-        far = label != np.arange(len(ids))
-        return pa.table({"u": pa.array(ids[far]), "v": pa.array(ids[label[far]])})
+        far = label != np.arange(len(comp))
+        return pa.table({"u": pa.array(comp[far]), "v": pa.array(comp[label[far]])})
 
     return run
 
 
-def links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(signed documents, confirmed links u, v between class representatives)."""
-    most = most_differing_bits(percent / 100)
-    signed = materialize(docs.select("doc_id", "text").mapInArrow(_signed(k), SIGNED), "near-signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
-    reps = signed.join(classes.select("d1", "d2", "n", F.col("id").alias("doc_id")), ["d1", "d2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    reps = materialize(reps.withColumnRenamed("doc_id", "id"), "near-classes")
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(banded.join(buckets, "key"), "near-members")
-    pairs = members.where("id <> rep").select("id", "rep").distinct()
+DIGEST = ["d1", "d2", "n"]
+
+
+def _star_links(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(texts of the members, links u, v between members and the least of their buckets)."""
     sketches = reps.select("id", *SKETCH)
+    pairs = members.where("id <> rep").select("id", "rep").distinct()
     of_rep = sketches.select(F.col("id").alias("rep"), *[F.col(s).alias(f"r{s}") for s in SKETCH])
     differing = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"r{s}"))) for s in SKETCH)
     pairs = materialize(pairs.join(sketches, "id").join(of_rep, "rep").where(differing <= most).select("id", "rep"), "near-pairs")
-
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = materialize(texts, "near-texts")
+    # A text is found by its row's id and hash; exact repeats of a row are the same text.
+    wanted = materialize(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("own"), "h"), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("h"), "text")
+    texts = materialize(texts.join(wanted, ["own", "h"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
     count = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).select("rep", F.expr(f"(c + {STAR - 1}) div {STAR}").alias("chunks"))
     count = materialize(count, "near-stars")  # a plain join side, so that Spark can split a hot star's rows
     stars = pairs.join(count, "rep").select("rep", "id", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
     heads = count.select("rep", F.col("rep").alias("id"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
     with_text = stars.unionByName(heads).join(texts, "id")
     grouped = with_text.repartition(F.col("rep"), F.col("chunk")).sortWithinPartitions("rep", "chunk", F.col("id") != F.col("rep"))
-    found = materialize(grouped.select("rep", "id", "text").mapInArrow(_confirm_stars(k, percent), "u long, v long"), "near-links")
+    return texts, materialize(grouped.select("rep", "id", "text").mapInArrow(_confirm_stars(k, percent), "u long, v long"), "near-links")
+
+
+def _other_links(reps: DataFrame, texts: DataFrame, held: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """Links between components (u, v) that share a bucket: ``held`` has key, id, component."""
+    mixed_ = held.groupBy("key").agg(
+        *[F.expr(x) for x in ("count(1) AS size", "min(component) AS a", "max(component) AS z", "min(id) AS first", "bit_xor(xxhash64(id, 7)) AS x")],
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"),
+    )
+    # Buckets of the same members count once.
+    mixed_ = mixed_.where("a <> z").groupBy("size", "first", "h", "x").agg(F.min("key").alias("key")).select("key", "size")
+    mixed_ = materialize(mixed_, "near-mixed")
+    # Sets of sizes m < n can't reach the threshold if m / n is below it: they are in one cell or in neighbouring ones
+    # (cells are a little wider than need be, so that rounding does no harm).
+    cell = F.when(F.col("size") <= BLOCK, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)))
+    rest = held.join(mixed_, "key").join(reps.select("id", "n", *SKETCH), "id").withColumn("own_cell", cell.cast("long"))
+    rest = rest.withColumn("cell", F.explode(F.when(F.col("size") <= BLOCK, F.array("own_cell")).otherwise(F.array("own_cell", F.col("own_cell") + 1))))
+    rest = materialize(rest.select("key", "cell", "own_cell", "id", "component", "n", *SKETCH), "near-rest")
+    half = max(1, BLOCK // 2)
+    groups = rest.groupBy("key", "cell").agg(*[F.expr(x) for x in ("count(1) AS size", "min(component) AS a", "max(component) AS z")]).where("a <> z")
+    groups = groups.select("key", "cell", F.expr(f"if(size <= {BLOCK}, 1, (size + {half - 1}) div {half})").alias("blocks"))
+    rest = rest.join(materialize(groups, "near-groups"), ["key", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    other = F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x <> own))"))
+    block = F.expr("least(own, other) * blocks + greatest(own, other)").alias("block")
+    rest = rest.withColumn("other", other).select("key", "cell", block, "id", "component", "n", "own_cell", *SKETCH)
+    sketch_sql = ", ".join(f"{s} long" for s in SKETCH)
+    near = rest.groupBy("key", "cell", "block").applyInArrow(_candidates(most, percent), f"key long, cell long, block long, id long, component long, {sketch_sql}, pair long")
+    near = materialize(near, "near-candidates")
+    more = near.join(texts, "id").groupBy("key", "cell", "block", "pair").applyInArrow(_confirm_rest(k, percent, most), "u long, v long")
+    return materialize(more, "near-more")
 
-    comps = connected_components(found).select(F.col("node").alias("id"), "component")
+
+def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signed rows, classes of equal sets with their component: d1, d2, n, id, least, component).
+
+    ``least`` is the least doc_id of the class, ``component`` the number of its component.
+    """
+    most = most_differing_bits(percent / 100)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
+    signed = materialize(rows.mapInArrow(_signed(k), SIGNED), "near-signed")
+    known = signed.where("n > 0 and doc_id is not null")
+    classes = materialize(known.groupBy(*DIGEST).agg(F.min("row").alias("id"), F.min("doc_id").alias("least")), "near-classes")
+    reps = known.join(classes.select(F.col("id").alias("row")), "row").withColumnRenamed("row", "id")
+    reps = materialize(reps.select("id", "doc_id", "h", "n", "bands", *SKETCH), "near-reps")
+    banded = reps.select("id", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "rep")
+    members = materialize(banded.join(materialize(buckets, "near-buckets"), "key"), "near-members")
+    texts, found = _star_links(docs, reps, members, k, percent, most)
+    comps = connected_components(found.unionByName(_same_document(known, classes))).withColumnRenamed("node", "id")
     held = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rest = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("z"), F.min("id").alias("first"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.expr("bit_xor(xxhash64(id, 7))").alias("x")).where("a <> z")
-    rest = rest.groupBy("size", "first", "h", "x").agg(F.min("key").alias("key"))  # buckets of the same members count once
-    rest = held.join(rest.select("key", F.expr(f"(size + {BLOCK // 2 - 1}) div {BLOCK // 2}").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    other = F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), x -> x <> own))"))
-    rest = rest.withColumn("other", other).select("key", F.expr("least(own, other) * blocks + greatest(own, other)").alias("block"), "id", "component")
-    near = rest.join(sketches, "id").groupBy("key", "block").applyInArrow(_candidates(most), "key long, block long, id long, component long, " + ", ".join(f"{s} long" for s in SKETCH))
-    near = materialize(near, "near-rest")
-    more = near.join(texts, "id").groupBy("key", "block").applyInArrow(_confirm_rest(k, percent, most), "u long, v long")
-    return signed, found.unionByName(materialize(more, "near-more"))
+    more = connected_components(_other_links(reps, texts, held, k, percent, most)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    named = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return signed, named.join(more, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+
+
+def _shared(signed: DataFrame) -> DataFrame:
+    """doc_ids whose rows differ in their sets."""
+    ends = signed.where("doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{name}_{c}") for c in DIGEST for name, f in (("a", F.min), ("z", F.max))])
+    return ends.where(" or ".join(f"a_{c} <> z_{c}" for c in DIGEST)).select("doc_id")
+
+
+def _same_document(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links u, v between the classes of one doc_id."""
+    rows = known.join(materialize(_shared(known), "near-shared"), "doc_id").join(classes, DIGEST).select("doc_id", F.col("id").alias("u"))
+    rows = materialize(rows, "near-shared-rows")
+    return rows.join(materialize(rows.groupBy("doc_id").agg(F.min("u").alias("v")), "near-shared-least"), "doc_id").where("u <> v").select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Documents are linked if 100 times the common
     shingles are at least ``percent`` times all of the two sets' shingles."""
-    signed, found = links(docs, k, percent)
-    known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
-    same = known.select("doc_id", "d1", "d2", "n").distinct().join(classes, ["d1", "d2", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    comps = connected_components(found.unionByName(same))
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles")).join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    signed, classes = classes_of(docs, k, percent)
+    classes = materialize(classes, "near-components")
+    tops = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")), "near-tops")
+    of_class = materialize(classes.join(tops, "component").select(*DIGEST, "component_id"), "near-ids")
+    rows = signed.where("n > 0 and doc_id is not null").select("doc_id", *DIGEST).join(of_class, DIGEST).select("doc_id", "n", "component_id")
+    # Rows without words take their document's component from its other rows, if it has any.
+    empty = signed.where("n = 0 or doc_id is null").select("doc_id", "n")
+    others = signed.where("n > 0").join(_shared(signed), "doc_id", "left_semi").join(of_class, DIGEST).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    empty = empty.join(others, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.unionByName(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

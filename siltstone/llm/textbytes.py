@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Texts are handled in slices of about so many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 19
+#: Values hashed at a time.
+PIECE = 1 << 19
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -47,42 +49,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
-    if base not in kept or len(kept[base]) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+def _powers(base: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
+    """Powers 0 to PIECE of a base, modulo 2^64."""
+    if base not in kept:
+        p = np.full(PIECE + 1, base, np.uint64)
         p[0] = 1
         kept[base] = np.cumprod(p, dtype=np.uint64)
-    return kept[base][:n]
+    return kept[base]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of a slice of texts: 64-bit hashes, starts and ends in the slice, and each text's first
-    word (n + 1 offsets)."""
-    base = offsets[0]
-    data, at = data[base : offsets[-1]], offsets - base
+    word (n + 1 offsets). A long slice is gone through by pieces; words may cross them."""
+    data, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     n = len(data)
-    if lower:
-        data = _LOWER[data]
-    inner = ~_SPACE[data]
-    starts = np.zeros(n + 1, bool)
-    starts[0] = True
-    starts[1:] = ~np.append(inner, False)[:-1] if n else True
-    starts[at] = True
-    starts = starts[:n] & inner
-    ends = np.ones(n, bool)
-    ends[:-1] = ~inner[1:]
-    ends[at[1:][at[1:] > 0] - 1] = True
-    ends &= inner
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return span_hashes(data, s, e), s, e, np.searchsorted(s, at)
-
-
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans from ``s`` up to ``e``."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
-    return mixed((sums[e] - sums[s]) * _powers(_INVERSE, n + 1)[s] + (e - s).astype(np.uint64))
+    s, e = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in range(0, n, PIECE):
+        q = min(n, p + PIECE)
+        inner = np.zeros(q - p + 2, bool)  # with a byte on each side
+        begin, end = max(0, p - 1), min(n, q + 1)
+        inner[begin - p + 1 : end - p + 1] = ~_SPACE[data[begin:end]]
+        text = np.zeros(q - p + 1, bool)
+        lo, hi = np.searchsorted(at, [p, q + 1])
+        text[at[lo:hi] - p] = True
+        own = inner[1:-1]
+        s.append(np.flatnonzero(own & (text[:-1] | ~inner[:-2])) + p)
+        e.append(np.flatnonzero(own & (text[1:] | ~inner[2:])) + p + 1)
+    s, e = np.concatenate(s), np.concatenate(e)
+    return span_hashes(data, s, e, lower), s, e, np.searchsorted(s, at)
+
+
+def _sums_before(data: np.ndarray, where: np.ndarray, lower: bool) -> np.ndarray:
+    """For rising positions: the sum of all (value + 1) * base ** index before each."""
+    rising = _powers(_BASE)
+    out = np.empty(len(where), np.uint64)
+    total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for p in range(0, len(data) + 1, PIECE):
+        part = data[p : p + PIECE]
+        part = (_LOWER[part] if lower else part).astype(np.uint64)
+        part += np.uint64(1)
+        part *= rising[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        lo, hi = np.searchsorted(where, [p, p + PIECE])
+        out[lo:hi] = total + shift * sums[where[lo:hi] - p]
+        total, shift = total + shift * sums[-1:], shift * rising[PIECE:]
+    return out
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the spans from ``s`` up to ``e``. A span hashes alike wherever it stands. Values
+    are taken by pieces, so beyond ``data`` only arrays as long as ``s`` are made."""
+    both = np.concatenate([s, e])
+    by = np.argsort(both, kind="stable")
+    before = np.empty(len(both), np.uint64)
+    before[by] = _sums_before(data, both[by], lower)
+    inside = before[len(s) :] - before[: len(s)]
+    falling = _powers(_INVERSE)
+    far = np.full(len(data) // PIECE + 1, falling[PIECE], np.uint64)
+    far[0] = 1
+    inside *= falling[s % PIECE]
+    if len(far) > 1:
+        inside *= np.cumprod(far, dtype=np.uint64)[s // PIECE]
+    return mixed(inside + (e - s).astype(np.uint64))
 
 
 #: Blocks of scripts written without spaces: Thai and Lao, Myanmar, Khmer, kana, Han and its further planes.

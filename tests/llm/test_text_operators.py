@@ -224,6 +224,66 @@ def test_links_that_the_star_misses(spark):
     assert out == brute_components(rows, 3, 85)
 
 
+def components_found(spark, rows, k=3, percent=85):
+    out = neardup.near_duplicates(frame(spark, [(i, t, "en", "a") for i, t in rows]), k, percent).collect()
+    assert len(out) == len(rows)
+    return {r["doc_id"]: r["component_id"] for r in out}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one doc_id with different texts are one node: each text's links count."""
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda words, i: " ".join([*words[:i], "other", *words[i + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 58)), (3, near(b, 58)), (4, " ".join(c))]
+    assert components_found(spark, rows) == {1: 1, 2: 1, 3: 1, 4: 4} == brute_components(rows, 3, 85)
+    rows += [(9, " ".join(b)), (9, near(c, 59)), (9, ""), (7, None), (7, near(c, 0)), (8, None), (9, " ".join(b))]
+    assert components_found(spark, rows) == dict.fromkeys((1, 2, 3, 4, 7, 9), 1) | {8: 8} == brute_components(rows, 3, 85)
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK": 8, "STAR": 8}, {"BLOCK": 8, "STAR": 3, "PART_ROWS": 3}, {"PART_SHINGLES": 300}])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, limits):
+    """Buckets of many components, cut by size, block and part, against brute force."""
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(6)
+    rows, base = [], [f"w{i}" for i in range(150)]
+    for g in range(8):  # centres are alike enough to share buckets, but not linked
+        centre = list(base) + [f"t{g}x{i}" for i in range(3 * g)]
+        for p in range(g * 9, g * 9 + 9):
+            centre[p] = f"g{g}p{p}"
+        for m in range(6):
+            copy = list(centre)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(100, 150)] = f"m{rng.randint(0, 99)}"
+            rows.append((g * 100 + m, " ".join(copy)))
+    rng.shuffle(rows)
+    want = brute_components(rows, 3, 85)
+    assert 2 < len(set(want.values())) < 40
+    assert components_found(spark, rows) == want
+
+
+def test_near_duplicates_of_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(2_400_000))
+    assert len(text) > 20_000_000
+    rows = [(3, text), (5, text + " end"), (7, "start " + text), (8, text[: len(text) // 2]), (9, "w" * 3_000_000), (11, "w" * 3_000_000)]
+    assert components_found(spark, rows, 5, 80) == {3: 3, 5: 3, 7: 3, 8: 8, 9: 9, 11: 9}
+
+
+def test_words_by_pieces(monkeypatch):
+    """Words, lines and hashes don't depend on how a slice is cut into pieces."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aB \t\né東") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["", None, "x" * 300]
+    data, at = textbytes.buffers(pa.array(texts))
+    found = []
+    for piece in (7, 64, textbytes.PIECE):
+        monkeypatch.setattr(textbytes, "PIECE", piece)
+        textbytes._powers.__defaults__[0].clear()
+        found.append([*textbytes.word_spans(data, at, lower=True), *textbytes.line_spans(data, at)])
+    textbytes._powers.__defaults__[0].clear()
+    for other in found[:2]:
+        assert all((x == y).all() for x, y in zip(other, found[2], strict=True))
+
+
 def test_odd_sketch_estimates(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 2000, dtype=np.int64).astype(np.uint64)
