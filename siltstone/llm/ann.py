@@ -1,23 +1,34 @@
-"""Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
-
-Rows are dealt to shards by a hash of their id; a shard's graph is kept as flat neighbour arrays (one
-matrix per level, -1 for none) in one row of an index table. Every query searches every shard, in
-blocks of queries; the best of all shards are merged. Inserting and searching go in numpy, for many points in step.
-
-Largest inner product is turned into nearest by one more coordinate, the square root of what a vector's
-squared norm lacks to the largest of its shard, so vectors of any length are found.
-Equal vectors of a shard are one node with a list of ids, so that copies can't crowd a neighbourhood.
+"""Approximate nearest neighbours: hierarchical navigable small-world graphs per shard.
+
+Rows are dealt to shards by a hash of their id and vector. A shard has a graph for each band of norms (the largest norm
+left and those down to half of it), kept as flat neighbour arrays (one matrix per level, -1 for none) in a
+row of an index table. Every query searches every shard; the best of all shards are merged. Queries stream
+past a shard's graphs, which are loaded once for ``QUERIES`` of them. Inserting and searching go in numpy, for
+many points in step.
+
+Largest inner product is turned into nearest by one more coordinate, the square root of what a vector's squared
+norm lacks to the largest of its band; vectors are scaled by that norm and queries by their own before they are
+rounded to single precision. So neither one vector of huge norm nor huge or tiny components blur the others. A band
+whose largest norm can't reach a query's k-th best so far is not searched for it, which loses nothing.
+Equal vectors of a graph are one node with a list of ids, so that copies can't crowd a neighbourhood.
 Every row is indexed; nothing is sampled.
 
+Scale: a shard holds about ``SHARD_ROOT`` times the square root of all rows, up to ``SHARD_MOST``. So queries that are a
+fixed share of n rows search O(sqrt n) shards each, and above 3.3 million rows O(n).
+
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 neither do rows with null id; vectors of another dimension than the query's are not its candidates;
-rows that repeat an id are candidates of their own, none of them for a query of that id; ties go to the
-smaller id; with fewer candidates than asked for, all are returned; an empty table gives an empty
+rows that repeat an id are candidates of their own, none of them for a query of that id; query rows that share an
+id are one query, that of the fewest components and least vector; ties go to the
+smaller id; with fewer candidates than asked for, all are returned; inner products that overflow a double
+are infinite, and those that are then undefined are left out; an empty table gives an empty
 result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of a shard; links of a node (twice as many at the ground); width of searches while building and querying.
-SHARD, LINKS, BUILD, SEARCH = 8192, 16, 64, 128
-QUERIES = 1024
+#: Rows of a shard: this times the square root of all rows, and the most.
+SHARD_ROOT, SHARD_MOST = 36, 65536
+#: Links of a node (twice as many at the ground); width of searches while building and querying.
+LINKS, BUILD, SEARCH = 16, 64, 256
+#: Queries that stream past a shard's graphs in one task.
+QUERIES = 16384
 
 
 @dataclass
@@ -147,11 +161,11 @@ def _attach(g: Graph, level: int, new: np.ndarray, chosen: np.ndarray) -> None:
 
 
 def build(vectors: np.ndarray, seed: int = 1) -> Graph:
-    """Graph over distinct vectors. Points are inserted in batches that grow with the graph; a batch's points
+    """Graph over distinct vectors of norms up to 1. Points are inserted in batches that grow with the graph; a batch's points
     see the graph so far and each other."""
     n = len(vectors)
-    norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    lift = np.sqrt(np.maximum(0, norms.max() - norms)) if n else norms
+    norms = (vectors**2).sum(axis=1)
+    lift = np.sqrt(np.maximum(0, 1 - norms))
     points = np.concatenate([vectors, lift[:, None]], axis=1).astype(np.float32)
     rng = np.random.default_rng(seed)
     level_of = np.minimum(8, (-np.log(1 - rng.random(n)) / np.log(LINKS)).astype(int))
@@ -199,7 +213,7 @@ def search(g: Graph, queries: np.ndarray, width: int) -> np.ndarray:
     """Node numbers of the ``width`` nearest found for each query (-1: none)."""
     q = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], axis=1).astype(np.float32)
     out = np.empty((len(q), width), np.int32)
-    step = max(1, min(256, (1 << 23) // max(1, len(g.points))))
+    step = max(1, min(256, (1 << 24) // max(1, len(g.points))))
     for a in range(0, len(q), step):
         part = q[a : a + step]
         start = np.full((len(part), 1), g.entry, np.int32)
@@ -214,22 +228,71 @@ def _vectors(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def norms_of(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms, without overflow."""
+    most = np.abs(vectors).max(axis=1, initial=0)
+    return most * np.sqrt(((vectors / np.where(most > 0, most, 1)[:, None]) ** 2).sum(axis=1))
+
+
+def bands_of(norms: np.ndarray) -> list[np.ndarray]:
+    """Rows by bands of norms, from the largest: the largest left and all down to half of it."""
+    order = np.argsort(-norms, kind="stable")
+    falling, out, first = -norms[order], [], 0
+    while first < len(order):
+        last = int(np.searchsorted(falling, falling[first] / 2, "right"))
+        out.append(order[first:last])
+        first = last
+    return out
+
+
 def _index(table: pa.Table) -> pa.Table:
-    """One shard's rows (dim, shard, id, vec) to one row of flat arrays."""
-    dim = table.column("dim")[0].as_py()
+    """One shard's rows (dim, shard, id, vec) to a row of flat arrays for each band of norms."""
+    dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
     by = np.argsort(table.column("id").to_numpy(), kind="stable")
-    ids, vectors = table.column("id").to_numpy()[by], _vectors(table.column("vec"), dim)[by]
-    distinct, node = np.unique(vectors, axis=0, return_inverse=True)
-    node = node.ravel()
-    members = np.argsort(node, kind="stable")
-    first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(distinct)))])
-    g = build(distinct.astype(np.float32))
-    row = {"dim": dim, "shard": table.column("shard")[0].as_py(), "entry": g.entry, "nodes": len(distinct), "vectors": distinct.astype(np.float64).tobytes(), "ids": ids[members].astype(np.int64).tobytes(), "first": first.astype(np.int64).tobytes(), "lift": g.points[:, -1].tobytes(), "levels": [x.tobytes() for x in g.order], "links": [x.tobytes() for x in g.links]}
-    return pa.Table.from_pylist([row], INDEX)
+    all_ids, all_vectors = table.column("id").to_numpy()[by], _vectors(table.column("vec"), dim)[by]
+    norms = norms_of(all_vectors)
+    rows = []
+    for band, own in enumerate(bands_of(norms)):
+        own = np.sort(own)
+        ids, top = all_ids[own], float(norms[own].max())
+        distinct, node = np.unique(all_vectors[own], axis=0, return_inverse=True)
+        node = node.ravel()
+        members = np.argsort(node, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(distinct)))])
+        g = build(distinct / top)
+        arrays = {"vectors": distinct, "ids": ids[members].astype(np.int64), "first": first.astype(np.int64), "points": g.points}
+        row = {"dim": dim, "shard": shard, "band": band, "top": top, "entry": g.entry}
+        rows.append(row | {k: v.tobytes() for k, v in arrays.items()} | {k: [x.tobytes() for x in v] for k, v in (("levels", g.order), ("links", g.links))})
+    return pa.Table.from_pylist(rows, INDEX)
+
+
+_BYTES, _LISTS = ("vectors", "ids", "first", "points"), ("levels", "links")
+INDEX = pa.schema(
+    [("dim", pa.int32()), ("shard", pa.int64()), ("band", pa.int32()), ("top", pa.float64()), ("entry", pa.int64())]
+    + [(c, pa.binary()) for c in _BYTES]
+    + [(c, pa.list_(pa.binary())) for c in _LISTS]
+)
+INDEX_SQL = "dim int, shard long, band int, top double, entry long, " + ", ".join([f"{c} binary" for c in _BYTES] + [f"{c} array<binary>" for c in _LISTS])
 
 
-INDEX = pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("entry", pa.int64()), ("nodes", pa.int64()), ("vectors", pa.binary()), ("ids", pa.binary()), ("first", pa.binary()), ("lift", pa.binary()), ("levels", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))])
-INDEX_SQL = "dim int, shard long, entry long, nodes long, vectors binary, ids binary, first binary, lift binary, levels array<binary>, links array<binary>"
+@dataclass
+class Loaded:
+    """A graph of the index table with the original vectors."""
+
+    graph: Graph
+    top: float
+    vectors: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+
+
+def _load(row: dict) -> Loaded:
+    dim = row["dim"]
+    points = np.frombuffer(row["points"], np.float32).reshape(-1, dim + 1)
+    order = [np.frombuffer(x, np.int32) for x in row["levels"]]
+    links = [np.frombuffer(x, np.int32).reshape(-1, LINKS * (2 if i == 0 else 1)) for i, x in enumerate(row["links"])]
+    graph = Graph(points, np.zeros(0, int), order, links, row["entry"])
+    return Loaded(graph, row["top"], np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64))
 
 
 def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -241,43 +304,73 @@ def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_of(own: int, found: np.ndarray, score: np.ndarray, part: Loaded, k: int) -> list[tuple[float, int]]:
+    """The ``k`` best (score, id) of one query's nodes, its own id left out; ids of one score share a pool, the smaller first."""
+    rows: list[tuple[float, int]] = []
+    level, pool = None, []
+    for j in np.argsort(-score, kind="stable"):
+        if score[j] == -np.inf:
+            break
+        if score[j] != level:
+            rows += [(level, x) for x in sorted(pool)[:k]]
+            level, pool = score[j], []
+            if len(rows) >= k:
+                break
+        some = part.ids[part.first[found[j]] : part.first[found[j] + 1]]
+        pool += some[some != own][:k].tolist()
+    return rows + [(level, x) for x in sorted(pool)[:k]]
+
+
+def search_bands(bands: list[Loaded], q_ids: np.ndarray, q: np.ndarray, k: int, width: int) -> list[list[tuple[float, int]]]:
+    """For each query the best rows of one shard's bands: (score, id), at least ``k`` of them if there are."""
+    best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
+    size = norms_of(q)
+    unit = (q / size[:, None]).astype(np.float32)
+    least = np.full(len(q), -np.inf)  # the k-th best so far
+    for part in bands:
+        with np.errstate(over="ignore", invalid="ignore"):
+            live = np.flatnonzero(~(size * part.top * (1 + 1e-9) < least))
+            if not len(live):
+                continue
+            found = search(part.graph, unit[live], min(max(width, k + 1), len(part.vectors)))
+            score = inner_products(q[live], part.vectors[np.maximum(found, 0)])
+        score[(found < 0) | np.isnan(score)] = -np.inf
+        for i, nodes, own in zip(live, found, score, strict=True):
+            more = best_of(q_ids[i], nodes, own, part, k)
+            best[i] = sorted(best[i] + more, key=lambda x: (-x[0], x[1]))[:k] if best[i] else more
+            if len(best[i]) >= k:
+                least[i] = best[i][k - 1][0]
+    return best
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
 def _search(k: int, width: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        row = left.slice(0, 1).to_pylist()[0]
-        dim = row["dim"]
-        vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-        ids, first = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64)
-        points = np.concatenate([vectors.astype(np.float32), np.frombuffer(row["lift"], np.float32)[:, None]], axis=1)
-        order = [np.frombuffer(x, np.int32) for x in row["levels"]]
-        links = [np.frombuffer(x, np.int32).reshape(-1, LINKS * (2 if i == 0 else 1)) for i, x in enumerate(row["links"])]
-        g = Graph(points, np.zeros(0, int), order, links, row["entry"])
-        q_ids, q = right.column("id").to_numpy(), _vectors(right.column("vec"), dim).astype(np.float64)
-        found = search(g, q.astype(np.float32), min(max(width, k + 1), len(points)))
-        score = inner_products(q, vectors[np.maximum(found, 0)])
-        score[found < 0] = -np.inf
-        rows: list[tuple[int, int, float]] = []
-        for i, own in enumerate(q_ids):
-            taken = 0
-            by = np.argsort(-score[i], kind="stable")
-            level, pool = None, []
-            for j in by:  # nodes by score; those of one score share a pool of ids
-                if score[i, j] == -np.inf:
-                    break
-                if score[i, j] != level:
-                    taken += len(pool)
-                    rows += [(own, x, level) for x in sorted(pool)[:k]]
-                    if taken >= k:
-                        pool = []
-                        break
-                    level, pool = score[i, j], []
-                some = ids[first[found[i, j]] : first[found[i, j] + 1]]
-                pool += some[some != own][:k].tolist()
-            rows += [(own, x, level) for x in sorted(pool)[:k]]
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+    """Rows sorted by (dim, shard, split), graphs before queries, the largest norms first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bands = None, []
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("dim", "shard", "split")], strict=True))
+            graph = batch.column("id").is_null().to_numpy(zero_copy_only=False)
+            i = 0
+            while i < len(keys):
+                if graph[i]:
+                    if keys[i] != at:
+                        at, bands = keys[i], []
+                    bands.append(_load({c: batch.column(c)[i].as_py() for c in INDEX.names}))
+                    i += 1
+                    continue
+                j = i
+                while j < len(keys) and not graph[j] and keys[j] == keys[i] and j - i < 1024:
+                    j += 1
+                q_ids, q = batch.column("id")[i:j].to_numpy(), _vectors(batch.column("vec")[i:j], keys[i][0])
+                best = search_bands(bands if keys[i] == at else [], q_ids, q, k, width)
+                count = [len(b) for b in best]
+                columns = [np.repeat(q_ids, count), [x for b in best for _, x in b], [x for b in best for x, _ in b]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+                i = j
 
     return run
 
@@ -289,25 +382,32 @@ def clean(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.size(vec).alias("dim"), F.col("vec_id").cast("long").alias("id"), vec.alias("vec"))
 
 
-def build_index(rows: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The index table of cleaned rows: one graph per (dim, shard)."""
-    shards = rows.groupBy("dim").agg(F.expr(f"(count(1) + {shard - 1}) div {shard}").alias("shards"))
-    dealt = rows.join(F.broadcast(shards), "dim")  # one row per dimension
-    dealt = dealt.select("dim", F.pmod(F.xxhash64("id", "vec"), "shards").alias("shard"), "id", "vec")
+def build_index(rows: DataFrame, shard_root: int = SHARD_ROOT, shard_most: int = SHARD_MOST) -> DataFrame:
+    """The index table of cleaned rows: graphs by (dim, shard, band)."""
+    counts = rows.groupBy("dim").count().collect()  # one row per dimension
+    shards = F.lit(1).cast("long")
+    for r in counts:
+        shards = F.when(F.col("dim") == r["dim"], F.lit(-(-r["count"] // min(shard_most, shard_root * math.isqrt(r["count"])))).cast("long")).otherwise(shards)
+    dealt = rows.select("dim", F.pmod(F.xxhash64("id", "vec"), shards).alias("shard"), "id", "vec")
     return materialize(dealt.groupBy("dim", "shard").applyInArrow(_index, INDEX_SQL), "ann-index")
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int = 20, width: int = SEARCH) -> DataFrame:
     """Per query (dim, id, vec): its ``k`` nearest rows of the index by inner product: query_id, rank,
     vec_id, score."""
-    here = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, -(-queries.count() // QUERIES)))))
-    shards = index.select("dim", "shard")
-    blocks = here.groupBy("dim", "block").agg(F.count(F.lit(1)).alias("n")).select("dim", "block")
-    pairs = shards.join(blocks, "dim")  # every block of queries meets every shard
-    dealt = here.join(shards, "dim").select(*[F.col(c).alias(c) for c in ("dim", "shard", "block", "id", "vec")])
-    graphs = index.join(pairs, ["dim", "shard"])
-    keys = ["dim", "shard", "block"]
-    found = graphs.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_search(k, width), "query_id long, vec_id long, score double")
+    queries = queries.groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("q")).select("q.dim", "id", "q.vec")
+    queries = materialize(queries, "ann-queries")
+    splits = max(1, -(-queries.count() // QUERIES))
+    asked = queries.withColumn("split", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(splits)))
+    last = F.lit(None).cast("long")
+    for r in index.groupBy("dim").agg(F.max("shard").alias("shard")).collect():  # one row per dimension
+        last = F.when(F.col("dim") == r["dim"], F.lit(r["shard"]).cast("long")).otherwise(last)
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("shard"))
+    graphs = index.select("*", F.explode(F.expr(f"sequence(0L, {splits - 1}L)")).alias("split"))
+    rows = graphs.unionByName(asked, allowMissingColumns=True)
+    keys = ["dim", "shard", "split"]
+    dealt = rows.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, F.col("id").isNotNull(), "band")
+    found = dealt.mapInArrow(_search(k, width), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -156,7 +156,7 @@ def test_nearest_neighbours(spark):
     want = brute(rows, 20, 20)
     clean = ann.clean(frame)
     for shard in (400, 10_000):
-        out = ann.nearest(clean.where("id % 20 = 0"), ann.build_index(clean, shard), 20).collect()
+        out = ann.nearest(clean.where("id % 20 = 0"), ann.build_index(clean, shard_most=shard), 20).collect()
         got = {}
         for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
             got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -175,13 +175,53 @@ def test_nearest_neighbours(spark):
     assert ann.search_table(frame.limit(0)).count() == 0
 
 
+def recall(spark, vectors, **options):
+    """Share of the true 20 nearest (by score, as ties are many) of each 20th vector that the search finds."""
+    ids = [i * 20 if i < 150 else 100_000 + 20 * i + 1 for i in range(len(vectors))]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search_table(frame).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    hit = 0
+    for i in range(150):
+        score = ann.inner_products(vectors[i : i + 1], vectors[None])[0]
+        score[i] = -np.inf
+        best = np.sort(score)[::-1][:20]
+        hit += (np.sort(got[ids[i]])[::-1] >= best[-1]).sum()
+    return hit / (150 * 20)
+
+
+def test_recall_of_hard_vectors(spark):
+    rng = np.random.default_rng(8)
+    small = rng.normal(size=(3000, 24))
+    long = small.copy()
+    long[77] *= 1e6
+    long[78] *= 1e4
+    copies = small.copy()
+    copies[500:2500] = copies[500 + np.arange(2000) % 3]
+    wide = rng.normal(size=(6000, 128))
+    spread = small * 10.0 ** rng.uniform(-3, 3, (3000, 1))
+    cases = {"long": long, "huge": small * 1e25, "tiny": small * 1e-200, "copies": copies, "spread": spread, "unit": wide / ann.norms_of(wide)[:, None]}
+    found = {name: recall(spark, v) for name, v in cases.items()}
+    assert min(found.values()) >= 0.95, found
+
+
+def test_queries_that_share_an_id(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 9.0]), (0, [1.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (4, [3.0, 1.0])]
+    out = ann.search_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == []
+    out = ann.search_table(spark.createDataFrame([r for r in rows if len(r[1]) > 1], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out) == [(1, 4, 10.5), (2, 4, 9.0), (3, 3, 0.5)]
+
+
 def test_graph_has_no_repeated_links():
-    g = ann.build(np.random.default_rng(0).normal(size=(700, 8)).astype(np.float32))
+    vectors = np.random.default_rng(0).normal(size=(700, 8))
+    g = ann.build(vectors / ann.norms_of(vectors).max())
     for rows in g.links:
         for r in rows:
             own = r[r >= 0]
             assert len(set(own.tolist())) == len(own)
-    assert ann.build(np.zeros((0, 8), np.float32)).entry == -1
+    assert ann.build(np.zeros((0, 8))).entry == -1
 
 
 # -- HTML
