@@ -21,15 +21,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of lines shared with an earlier document are deleted; documents left without a word go."""
-    out = linededup.dedup_lines(docs)
-    columns = [F.col(f"`{c}`") if c != "n_chars" else F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") for c in docs.columns]
-    return out.where((F.col("__removed") == 0) | F.col("text").rlike(WORD)).select(*columns)
+    out = linededup.deduped(docs)
+    text = F.col("doc").getField("text")
+    own = {c: F.col("doc").getField(c) for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.where((F.col("removed") == 0) | text.rlike(WORD)).select(*[x.alias(c) for c, x in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more. Rows of one id stay or go together."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,18 +3,25 @@
 Runs of consecutive lines that together reach ``BLOCK_WORDS`` words, the shortest from and up to each line, are
 hashed. Each such run that several documents hold proposes one partner to every later holder: the first
 document that holds it (least doc_id). So a run held by very many documents proposes as many pairs as it has
-holders, never all pairs. Words of scripts without spaces count by characters. As a pair loses every run that both hold, in whatever order, other partners could add
-nothing: exactly the lines go that stand in a run of that many words which any earlier document holds.
+holders, never all pairs, and common runs need not be left out for the sake of rare ones: a bound on how many
+documents may hold a line would drop cases. Words of scripts without spaces count by characters. As a pair loses
+every run that both hold, in whatever order, other partners could add nothing: exactly the lines go that stand in
+a run of that many words which any earlier document holds.
 Each pair is aligned by patience diff on line hashes: lines unique in both, their longest rising
 sequence, then the gaps between them and equal lines at their ends. Aligned runs of at least
 ``BLOCK_WORDS`` words are deleted from the later document. One rising order leaves out repeats and blocks
 in another order, so what is left is held against the partner again, wherever it stands: every run of the later
 document of that many words which the partner holds goes, each time it occurs.
+Lines count as equal if two independent 64-bit hashes of their bytes are.
 
 Defined cases: null text stays null; a text whose lines are all deleted becomes empty; rows that share
 doc_id are ordered by a hash of their text, and exact repeats of a row count as one document
-(each keeps or loses the same lines); null doc_id comes last; an empty table gives an empty result;
-further columns of ``docs`` are kept by ``dedup_lines`` as they are.
+(each keeps or loses the same lines); null doc_id comes last; a very long text is hashed by pieces, and its
+line hashes must fit in a task; lines of any length count, short ones by the runs that they form; an empty table
+gives an empty result; further columns of ``docs`` are kept as they are, whatever their names.
+
+Scale: what is shuffled beside the texts' own join are line hashes. A first holder's hashes go once to each ``CHUNK``
+of its partners, which stream past it, so no task gathers the holders of a run.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from .common import materialize
 from .textbytes import buffers, line_spans, slices, span_hashes
 
 BLOCK_WORDS = 8
+#: Partners of a first holder that one task aligns.
+CHUNK = 512
 _NULL_ID = 2**63 - 1
 
 
@@ -133,71 +142,128 @@ def _runs(lines: np.ndarray, words: np.ndarray, first: np.ndarray, least: int) -
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys[new].view(np.int64)))
 
 
+LINES = "id long, h long, lines array<long>, marks array<long>, words array<int>"
+
+
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column("text"))
         for a, b in slices(offsets):
-            hashes, words, first = line_spans(data, offsets[a : b + 1])
+            hashes, marks, words, first = line_spans(data, offsets[a : b + 1])
             at = pa.array(first.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(words.astype(np.int32)))]
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (hashes.view(np.int64), marks.view(np.int64), words.astype(np.int32))]
             runs = _runs(hashes, words, first, least)
-            yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("h")[a:b], *lists, runs], names=["id", "h", "lines", "words", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("h")[a:b], *lists, runs], names=["id", "h", "lines", "marks", "words", "runs"])
+
+
+def numbers(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Rows of two tables of hashes as numbers that are equal where the rows are."""
+    both = np.concatenate([a, b])
+    order = np.lexsort(both.T)
+    new = np.zeros(len(both), np.int64)
+    new[1:] = (both[order[1:]] != both[order[:-1]]).any(axis=1)
+    out = np.empty(len(both), np.int64)
+    out[order] = np.cumsum(new)
+    return out[: len(a)].tolist(), out[len(a) :].tolist()
 
 
 def _align(least: int):
+    """Rows sorted by (fid, fh, chunk), the first holder's own before its partners': partners' lines to delete."""
+    names = ["id", "h", "cut"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros((0, 2), np.int64)
         for batch in batches:
-            rows = [batch.column(x).to_pylist() for x in ("first_lines", "lines", "words")]
-            cut = [list(range(len(b))) if a == b else common_lines(a, b, w, least) for a, b, w in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(cut, pa.list_(pa.int32()))], names=["id", "h", "cut"])
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("fid", "fh", "chunk")], strict=True))
+            partner = batch.column("partner").to_pylist()
+            rows, cut = [], []
+            for i, key in enumerate(keys):  # one document's lists at a time
+                lines, marks = (batch.column(c)[i].values.to_numpy() for c in ("lines", "marks"))
+                hashes = np.stack([lines, marks], axis=1)
+                if not partner[i]:
+                    at, own = key, hashes
+                    continue
+                if key != at:
+                    raise AssertionError("a first holder comes before its partners")
+                if np.array_equal(own, hashes):
+                    gone = np.arange(len(hashes))
+                else:
+                    gone = common_lines(*numbers(own, hashes), batch.column("words")[i].values.to_pylist(), least)
+                rows.append(i)
+                cut.append(pa.array(gone, pa.int32()))
+            ends = np.cumsum([0, *map(len, cut)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(cut) if cut else pa.array([], pa.int32()))
+            pick = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pick), batch.column("h").take(pick), lists], names=names)
 
     return run
 
 
 def cuts(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, h, cut): the numbers of the lines to delete, for documents that lose any."""
+    """(id, h, cut): the numbers of the lines to delete, for documents (doc_id, text) that lose any."""
     keyed = docs.where("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("h"), "text")
-    lines = keyed.mapInArrow(lambda batches: _lines(batches, block_words), "id long, h long, lines array<long>, words array<int>, runs array<long>").dropDuplicates(["id", "h"])
+    lines = keyed.mapInArrow(lambda batches: _lines(batches, block_words), LINES + ", runs array<long>").dropDuplicates(["id", "h"])
     lines = materialize(lines, "lines")
     held = lines.select("id", "h", F.explode("runs").alias("run"))
     first = held.groupBy("run").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "first")
     first = materialize(first, "line-first")  # a plain join side, so that Spark can split a hot run's rows
     pairs = held.join(first, "run").where(F.struct("id", "h") != F.col("first")).select("id", "h", F.col("first.id").alias("fid"), F.col("first.h").alias("fh")).distinct()
-    of_first = lines.select(F.col("id").alias("fid"), F.col("h").alias("fh"), F.col("lines").alias("first_lines"))
-    both = pairs.join(of_first, ["fid", "fh"]).join(lines.drop("runs"), ["id", "h"])
-    cut = both.select("id", "h", "first_lines", "lines", "words").mapInArrow(_align(block_words), "id long, h long, cut array<int>")
+    pairs = materialize(pairs, "line-pairs")
+    chunks = pairs.groupBy("fid", "fh").agg(F.expr(f"(count(1) + {CHUNK - 1}) div {CHUNK}").alias("chunks"))
+    chunks = materialize(chunks, "line-chunks")  # likewise for a hot first holder's
+    of_chunk = ["fid", "fh", "chunk"]
+    partners = pairs.join(chunks, ["fid", "fh"]).select("id", "h", "fid", "fh", F.expr("pmod(xxhash64(id, h), chunks)").alias("chunk"), F.lit(True).alias("partner"))
+    heads = chunks.select(F.col("fid").alias("id"), F.col("fh").alias("h"), "fid", "fh", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.lit(False).alias("partner"))
+    both = partners.unionByName(heads).join(lines.drop("runs"), ["id", "h"])
+    dealt = both.repartition(*[F.col(c) for c in of_chunk]).sortWithinPartitions(*of_chunk, "partner")
+    cut = dealt.mapInArrow(_align(block_words), "id long, h long, cut array<int>")
     cut = cut.where(F.size("cut") > 0).groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     return materialize(cut, "line-cuts")
 
 
-def _id():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+def _id(doc_id="doc_id"):
+    return F.coalesce(F.col(doc_id).cast("long") if isinstance(doc_id, str) else doc_id.cast("long"), F.lit(_NULL_ID))
 
 
-def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cut = batch.column("__cut")
-        touched = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False))
-        at = batch.schema.get_field_index("text")
-        texts = batch.column(at)
-        if len(touched):
-            texts = texts.to_pylist()
-            for i in touched:
-                gone = set(cut[i].as_py())
-                texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in gone)
-            texts = pa.array(texts, batch.schema.field(at).type)
-        columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(i) for i in range(batch.num_columns - 1)]))
+def _delete(at: int):
+    """Rows whose last column is the list of lines to delete from column ``at``: the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
+            some = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                texts = texts.to_pylist()
+                for i in some:
+                    gone = set(cut[i].as_py())
+                    texts[i] = "\n".join(x for j, x in enumerate(texts[i].split("\n")) if j not in gone)
+                texts = pa.array(texts, batch.schema.field(at).type)
+            columns = [texts if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    return run
+
+
+def deduped(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One column ``doc``, a struct of the columns of ``docs`` with common blocks deleted from the text, and the
+    numbers ``lines`` (before) and ``removed``. So no column of ``docs`` can clash with others."""
+    cut = cuts(docs, block_words).select(F.col("id").alias("cut_id"), F.col("h").alias("cut_h"), "cut")
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # by position
+    at = docs.columns.index("text")
+    text, doc_id = F.col(f"c{at}"), F.col(f"c{docs.columns.index('doc_id')}")
+    keyed = own.withColumns({"own_id": _id(doc_id), "own_h": F.xxhash64(text)})
+    joined = keyed.join(cut, (F.col("own_id") == F.col("cut_id")) & (F.col("own_h") == F.col("cut_h")), "left")
+    lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long")
+    removed = F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("long")
+    wide = joined.select(*own.columns, lines.alias("lines"), removed.alias("removed"), "cut")
+    out = wide.mapInArrow(_delete(at), T.StructType(wide.schema.fields[:-1]))
+    return out.select(F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("doc"), "lines", "removed")
 
 
 def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of ``docs`` with common blocks deleted, and two more columns: __lines (lines before)
-    and __removed (lines deleted)."""
-    cut = cuts(docs, block_words)
-    keyed = docs.withColumn("__id", _id()).withColumn("__h", F.xxhash64("text"))
-    joined = keyed.join(cut.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("cut").alias("__cut")), ["__id", "__h"], "left")
-    lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long")
-    removed = F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long")
-    wide = joined.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias("__lines"), removed.alias("__removed"), "__cut")
-    out = T.StructType([f for f in wide.schema.fields if f.name != "__cut"])
-    return wide.mapInArrow(_delete, out)
+    """Rows of ``docs`` with common blocks deleted, and two more columns: __lines (lines before) and __removed
+    (lines deleted), which replace columns of those names."""
+    out = deduped(docs, block_words)
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("__lines", "__removed")]
+    return out.select(*kept, F.col("lines").alias("__lines"), F.col("removed").alias("__removed"))

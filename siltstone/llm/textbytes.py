@@ -12,7 +12,7 @@ SLICE_BYTES = 1 << 19
 #: Values hashed at a time.
 PIECE = 1 << 19
 
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_BASE, _SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,9 +79,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     return span_hashes(data, s, e, lower), s, e, np.searchsorted(s, at)
 
 
-def _sums_before(data: np.ndarray, where: np.ndarray, lower: bool) -> np.ndarray:
+def _sums_before(data: np.ndarray, where: np.ndarray, lower: bool, base: int) -> np.ndarray:
     """For rising positions: the sum of all (value + 1) * base ** index before each."""
-    rising = _powers(_BASE)
+    rising = _powers(base)
     out = np.empty(len(where), np.uint64)
     total, shift = np.zeros(1, np.uint64), np.ones(1, np.uint64)
     for p in range(0, len(data) + 1, PIECE):
@@ -97,15 +97,15 @@ def _sums_before(data: np.ndarray, where: np.ndarray, lower: bool) -> np.ndarray
     return out
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False, base: int = _BASE) -> np.ndarray:
     """64-bit hashes of the spans from ``s`` up to ``e``. A span hashes alike wherever it stands. Values
     are taken by pieces, so beyond ``data`` only arrays as long as ``s`` are made."""
     both = np.concatenate([s, e])
     by = np.argsort(both, kind="stable")
     before = np.empty(len(both), np.uint64)
-    before[by] = _sums_before(data, both[by], lower)
+    before[by] = _sums_before(data, both[by], lower, base)
     inside = before[len(s) :] - before[: len(s)]
-    falling = _powers(_INVERSE)
+    falling = _powers(pow(base, -1, 1 << 64))
     far = np.full(len(data) // PIECE + 1, falling[PIECE], np.uint64)
     far[0] = 1
     inside *= falling[s % PIECE]
@@ -133,9 +133,9 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All lines (between newlines) of a slice of texts: 64-bit hashes, numbers of words, and each
-    text's first line (n + 1 offsets); an empty text has one empty line. A word with characters of
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All lines (between newlines) of a slice of texts: two independent 64-bit hashes, numbers of words,
+    and each text's first line (n + 1 offsets); an empty text has one empty line. A word with characters of
     scripts without spaces counts as that many words."""
     own, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     newline = np.flatnonzero(own == 10)
@@ -151,7 +151,7 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         weight = np.maximum(weight, characters[end] - characters[word])
     sums = np.concatenate([[0], np.cumsum(weight)])
     count = sums[np.searchsorted(word, e)] - sums[np.searchsorted(word, s)]
-    return span_hashes(own, s, e), count, first
+    return span_hashes(own, s, e), span_hashes(own, s, e, base=_SECOND), count, first
 
 
 _TAKE = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.llm import components, langid, linededup, mixing, neardup, packing, quality, textbytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, bucket string, __salt string, id long, component string"
@@ -152,7 +153,7 @@ def test_words_and_lines_match_python():
         for w, h in zip((t or "").encode().lower().split(), hashes[first[i] : first[i + 1]], strict=True):
             names[w].add(h)
     assert all(len(v) == 1 for v in names.values()) and len({min(v) for v in names.values()}) == len(names)
-    lines, count, first = textbytes.line_spans(data, at)
+    lines, _, count, first = textbytes.line_spans(data, at)
     for i, t in enumerate(texts):
         own = (t or "").split("\n")
         assert first[i + 1] - first[i] == len(own)
@@ -390,6 +391,37 @@ def test_line_dedup_against_brute_force(spark):
         assert got[i] == "\n".join(x for j, x in enumerate(d) if j not in gone)
 
 
+def test_line_dedup_of_poems(spark, monkeypatch):
+    """Lines of fewer words than a block: copies go in full, and a hot first holder's partners go by chunks."""
+    monkeypatch.setattr(linededup, "CHUNK", 3)
+    poem = "\n".join(" ".join(f"w{i}x{j}" for j in range(7)) for i in range(50))
+    rows = [(i, poem, "en", "a") for i in range(9)] + [(20, "own words here\n" + poem[: poem.index("w30x0")] + "own end", "en", "a")]
+    got = {r["doc_id"]: (r["text"], r["__removed"]) for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {0: (poem, 0)} | {i: ("", 50) for i in range(1, 9)} | {20: ("own words here\nown end", 30)}
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    line = " ".join(f"w{i}" for i in range(12))
+    names = ["__lines", "__removed", "__cut", "__gone", "__id", "__h", "c0", "cut", "lines", "id", "h", "a.b"]
+    docs = spark.createDataFrame([(i, f"x{i}\n{line}", *names) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert out[2]["text"] == "x2" and out[2]["__removed"] == 1 and out[1]["__lines"] == 2
+    assert all(out[2][c] == c for c in names if c not in ("__lines", "__removed"))
+    kept = corpus_pipeline.lines(spark, docs, "")
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(names)}
+    assert corpus_pipeline.near_duplicates(spark, docs, "").columns == docs.columns
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 1
+
+
+def test_lines_are_compared_by_two_hashes():
+    a, b = np.array([[1, 5], [2, 6], [3, 7]]), np.array([[2, 6], [1, 4], [3, 7]])
+    x, y = linededup.numbers(a, b)
+    assert x[1] == y[0] and x[2] == y[2] and x[0] != y[1] and len({*x, *y}) == 4
+    assert linededup.numbers(a[:0], b[:0]) == ([], [])
+    lines, marks, _, _ = textbytes.line_spans(*textbytes.buffers(pa.array(["\n".join(f"line {i % 700}" for i in range(2000))])))
+    assert len(set(lines.tolist())) == len(set(marks.tolist())) == 700 and not set(lines.tolist()) & set(marks.tolist())
+
+
 def test_line_dedup_of_scripts_without_spaces(spark):
     for passage in ("床前明月光疑是地上霜", "いろはにほへとちりぬるを", "กขฃคฅฆงจฉช", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇", "床前明月\n光疑是地\n上霜"):
         rows = [(1, f"a\n{passage}\nb", "zh", "a"), (2, f"c\n{passage}\nd", "zh", "a")]
@@ -397,7 +429,7 @@ def test_line_dedup_of_scripts_without_spaces(spark):
         assert got == {1: rows[0][1], 2: "c\nd"}
     texts = ["one two 三四五 é", "한국어 한국어", "東京x\n\nab", ""]
     data, offsets = textbytes.buffers(pa.array(texts))
-    assert textbytes.line_spans(data, offsets)[1].tolist() == [6, 2, 2, 0, 1, 0]
+    assert textbytes.line_spans(data, offsets)[2].tolist() == [6, 2, 2, 0, 1, 0]
 
 
 # -- classifiers
