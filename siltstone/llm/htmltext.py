@@ -6,27 +6,31 @@ what is not visible and lays out the rest: blocks on lines of their own, blank l
 bullets and numbers for lists with indents, and table cells padded to common column widths.
 
 Visibility: script, style, head, template and the like; the ``hidden`` attribute; closed details and
-dialogs; hidden inputs; ``display:none`` and ``visibility:hidden``, inline or by simple selectors (tag, .class,
-#id) of the page's own style elements. Rules ``margin:0`` for a tag take its blank lines away. Rules of media
-that are not a screen of ``WIDTH`` pixels, or whose conditions are not known here (other than widths), hide nothing.
-Text that stands in a table outside its cells goes before the table, as in browsers.
+dialogs; hidden inputs; ``display`` and ``visibility``, inline or by the page's own style elements, for selectors
+of one element (a tag, classes and ids together). Importance, specificity and order decide between them.
+``display:none`` takes away all that an element holds; ``visibility`` is inherited until something sets it anew.
+Rules ``margin:0`` for a tag take its blank lines away. Rules of media that are not a screen of ``WIDTH``
+pixels, or whose conditions are not known here (other than widths), and selectors of several elements or with
+attributes or states hide nothing. Text that stands in a table outside its cells goes before the table, as in browsers.
 
 Defined cases: null html gives null text; empty html gives an empty text; unclosed comments, tags and
-quotes run as text or to the end, never fail; elements nested deeper than ``DEPTH`` are rendered without
-boxes of their own; repeated rows give repeated results; an empty table gives an empty result; other
-columns are ignored.
+quotes run as text or to the end, never fail; elements nest to any depth, but are indented ``INDENTS`` times at
+most; a very long page must fit in a task, and takes time in proportion to its length; repeated rows give
+repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-DEPTH = 256
+INDENTS = 64
 WIDTH = 1280
 
 # Fixed lists of element names.
@@ -56,14 +60,15 @@ SCOPES = frozenset({"table", "td", "th", "caption", "html"})
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>|[^<]++|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _MEDIA = re.compile(r"@media\b([^{};]*)\{", re.I)
 _QUERY = re.compile(r"\s*(?:(not|only)\s+)?([a-z]+)?\s*((?:(?:and\s*)?\([^()]*\)\s*)*)", re.I)
 _CONDITION = re.compile(r"\(([^()]*)\)")
 _WIDTHS = re.compile(r"\s*(min|max)-width\s*:\s*(\d+(?:\.\d+)?|\.\d+)\s*(px|r?em)?\s*", re.I)
-_SIMPLE = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
+_COMPOUND = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#]-?[_a-z\u0080-\uffff][\w-]*)*)", re.I)
+_PART = re.compile(r"[.#][\w-]+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_FLAT = re.compile(r"margin\s*:\s*0(?![.\d])", re.I)
+_FLAT = re.compile(r"0(?:px|em|rem|%)?")
 
 
 class Element:
@@ -79,10 +84,63 @@ class Element:
         return None
 
 
+class Stack:
+    """Open elements, and how many there are of each name, so that none is sought in vain."""
+
+    def __init__(self, root: Element):
+        self.open, self.count = [root], Counter()
+
+    def push(self, element: Element) -> None:
+        self.open[-1].children.append(element)
+        self.open.append(element)
+        self.count[element.tag] += 1
+
+    def add(self, child: Element | str) -> None:
+        self.open[-1].children.append(child)
+
+    def cut(self, at: int) -> None:
+        for e in self.open[at:]:
+            self.count[e.tag] -= 1
+        del self.open[at:]
+
+    def imply(self, tag: str) -> None:
+        """End what ``tag`` ends by implication, down to what shields it."""
+        ended, shield = IMPLIED[tag]
+        if not any(self.count[x] for x in ended):
+            return
+        least = len(self.open)
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in shield:
+                break
+            if self.open[i].tag in ended:
+                least = i
+        self.cut(least)
+
+    def close(self, tag: str, quiet: bool = False) -> None:
+        """End the nearest open element of that name; a lone </p> is an empty paragraph."""
+        for i in range(len(self.open) - 1, 0, -1) if self.count[tag] else ():
+            if self.open[i].tag == tag:
+                self.cut(i)
+                return
+            if self.open[i].tag in SCOPES and tag not in ("table", "tbody", "thead", "tfoot", "tr", "body", "html"):
+                break
+        if tag == "p" and not quiet:
+            self.add(Element("p", ""))
+
+    def text(self, text: str) -> None:
+        """Add a text; one that is not blank and stands between a table's cells goes before the table."""
+        if self.open[-1].tag in ROWS and _SPACE.sub("", text):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag == "table":
+                    self.open[i - 1].children.insert(-1, text)  # an open table is its parent's last child
+                    return
+        self.add(text)
+
+
 def parse(source: str) -> tuple[Element, list[str]]:
     """The tree of a page, and the texts of its style elements."""
     root, styles = Element("#root", ""), []
-    stack = [root]
+    stack = Stack(root)
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.match(source, at)
@@ -91,69 +149,34 @@ def parse(source: str) -> tuple[Element, list[str]]:
         if not tag:
             text = m[0]
             if text[0] != "<" or text == "<":
-                _text(stack, html.unescape(text) if "&" in text else text)
+                stack.text(html.unescape(text) if "&" in text else text)
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            _close(stack, tag)
+            stack.close(tag)
             continue
-        attributes = m[3] or m[6] or ""
+        element = Element(tag, m[3] or m[6] or "")
         if tag in ENDS_P:
-            _close(stack, "p", quiet=True)
+            stack.close("p", quiet=True)
         if tag in IMPLIED:
-            ended, shield = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in shield:
-                    break
-                if stack[i].tag in ended:
-                    del stack[i:]
-        if tag == "tr" and stack[-1].tag == "table":
-            _open(stack, Element("tbody", ""))
-        element = Element(tag, attributes)
+            stack.imply(tag)
+        if tag == "tr" and stack.open[-1].tag == "table":
+            stack.push(Element("tbody", ""))
         if tag in VOID:
-            stack[-1].children.append(element)
-            continue
-        if tag in RAW:
+            stack.add(element)
+        elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else n]
             at = end.end() if end else n
             if tag == "style" and on_screen(element.get("media") or ""):
                 styles.append(body)
             element.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            stack[-1].children.append(element)
-            continue
-        _open(stack, element)
+            stack.add(element)
+        else:
+            stack.push(element)
     return root, styles
 
 
-def _text(stack: list[Element], text: str) -> None:
-    """Add a text; one that is not blank and stands between a table's cells goes before the table."""
-    if stack[-1].tag in ROWS and _SPACE.sub("", text):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "table":
-                stack[i - 1].children.insert(-1, text)  # an open table is its parent's last child
-                return
-    stack[-1].children.append(text)
-
-
-def _open(stack: list[Element], element: Element) -> None:
-    stack[-1].children.append(element)
-    if len(stack) < DEPTH:
-        stack.append(element)
-
-
-def _close(stack: list[Element], tag: str, quiet: bool = False) -> None:
-    """End the nearest open element of that name; a lone </p> is an empty paragraph."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in SCOPES and tag not in ("table", "tbody", "thead", "tfoot", "tr", "body", "html"):
-            break
-    if tag == "p" and not quiet:
-        stack[-1].children.append(Element("p", ""))
-
-
 def on_screen(media: str) -> bool:
     """Whether a list of media queries surely holds for a screen of ``WIDTH`` pixels."""
     return any(_holds(query) for query in media.split(","))
@@ -196,39 +219,65 @@ def for_screen(style: str) -> str:
     return "".join(out)
 
 
+def declarations(body: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) in order."""
+    out = []
+    for part in body.split(";"):
+        name, colon, value = part.partition(":")
+        if colon:
+            value, bang, _ = value.partition("!")
+            out.append((name.strip().lower(), value.strip().lower(), bool(bang)))
+    return out
+
+
 class Rules:
-    """What the page's own style rules hide or set flat."""
+    """What the page's own style rules say of display and visibility, and of which tags' margins."""
 
     def __init__(self, styles: list[str]):
-        self.hidden: set[str] = set()
+        #: By tag, .class, #id or *: (precedence, tag, classes and ids, property, value).
+        self.by: dict[str, list[tuple[tuple, str, frozenset[str], str, str]]] = {}
         self.flat: set[str] = set()
+        order = 0
         for style in styles:
-            for selectors, body in _RULE.findall(for_screen(style)):
+            for selectors, body in _RULE.findall(for_screen(_COMMENT.sub("", style))):
+                said = declarations(body)
                 for selector in selectors.split(","):
-                    selector = selector.strip()
-                    if _SIMPLE.fullmatch(selector):
-                        if _NONE.search(body):
-                            self.hidden.add(selector.lower() if selector[0] not in ".#" else selector)
-                        if _FLAT.search(body):
-                            self.flat.add(selector.lower())
-
-    def hides(self, e: Element) -> bool:
-        if e.tag in UNSEEN or e.tag in self.hidden:
-            return True
-        if not e.attributes:
-            return e.tag == "dialog"
-        low = e.attributes.lower()
-        if e.tag == "dialog" and "open" not in low:
-            return True
-        if "hidden" in low and (e.get("hidden") is not None or e.tag == "input" and e.get("type") == "hidden"):
-            return True
-        if "style" in low and _NONE.search(e.get("style") or ""):
-            return True
-        if self.hidden:
-            if any("." + c in self.hidden for c in (e.get("class") or "").split()):
-                return True
-            return "#" + (e.get("id") or "") in self.hidden
-        return False
+                    order += 1
+                    m = _COMPOUND.fullmatch(selector.strip())
+                    if m and m[0]:
+                        self.add(m[1] or "*", _PART.findall(m[2]), said, order)
+
+    def add(self, tag: str, parts: list[str], said: list[tuple[str, str, bool]], order: int) -> None:
+        tag = tag.lower()
+        weight = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), tag != "*")
+        for name, value, important in said:
+            if name in ("display", "visibility"):
+                self.by.setdefault(parts[0] if parts else tag, []).append(((important, 1, weight, order), tag, frozenset(parts), name, value))
+            elif name == "margin" and not parts and _FLAT.fullmatch(value):
+                self.flat.add(tag)
+
+    def style(self, e: Element) -> dict[str, str]:
+        """The values of display and visibility that hold for an element, of those that are set."""
+        attributes = e.attributes.lower()
+        own = set()
+        if self.by and "class" in attributes:
+            own.update("." + c for c in (e.get("class") or "").split())
+        if self.by and "id" in attributes and e.get("id"):
+            own.add("#" + e.get("id"))
+        found: dict[str, tuple[tuple, str]] = {}
+        if "hidden" in attributes and (e.get("hidden") is not None or e.tag == "input" and e.get("type") == "hidden"):
+            found["display"] = (False, 0), "none"
+        if e.tag == "dialog" and ("open" not in attributes or e.get("open") is None):
+            found["display"] = (False, 0), "none"
+        for key in (e.tag, "*", *own) if self.by else ():
+            for precedence, tag, parts, name, value in self.by.get(key, ()):
+                if tag in ("*", e.tag) and parts <= own and (name not in found or precedence > found[name][0]):
+                    found[name] = precedence, value
+        if "style" in attributes:
+            for name, value, important in declarations(e.get("style") or ""):
+                if name in ("display", "visibility") and (name not in found or (important, 2) >= found[name][0][:2]):
+                    found[name] = (important, 2), value
+        return {name: value for name, (_, value) in found.items()}
 
 
 class Box:
@@ -264,9 +313,9 @@ class Box:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:INDENTS])
         if self.lead is not None:
-            lead = "".join(self.indent[:-1]) + self.lead
+            lead = "".join(self.indent[:-1][:INDENTS]) + self.lead
             self.lead = None
         self.lines.append((lead + line).rstrip())
 
@@ -277,13 +326,14 @@ class Box:
 def render(root: Element, rules: Rules) -> str:
     box = Box()
     boxes = [box]
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[Cell]]] = []
     counters: list[int | None] = []
-    todo: list = [(root, False)]
+    todo: list = [(root, False, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, seen = todo.pop()
         if isinstance(node, str):
-            box.text(node)
+            if seen:
+                box.text(node)
             continue
         tag = node.tag
         if leaving:
@@ -292,10 +342,9 @@ def render(root: Element, rules: Rules) -> str:
                 lines = box.lines or [""]
                 boxes.pop()
                 box = boxes[-1]
-                span = node.get("colspan") if node.attributes else None
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((lines, min(1000, int(span)) if span and span.isdigit() and int(span) else 1))
+                tables[-1][-1].append((lines, span_of(node, "colspan", 1000) or 1, span_of(node, "rowspan", 65534)))
             elif tag == "table":
                 box.end()
                 for line in aligned(tables.pop()):
@@ -315,17 +364,24 @@ def render(root: Element, rules: Rules) -> str:
                 if tag in SPACED and tag not in rules.flat and not (tag in ("ul", "ol", "menu") and counters):
                     box.space(1)
             continue
-        if rules.hides(node):
+        if tag in UNSEEN:
             continue
+        if rules.by or node.attributes or tag == "dialog":
+            style = rules.style(node)
+            if style.get("display") == "none":
+                continue
+            if style.get("visibility") in ("visible", "hidden", "collapse"):
+                seen = style["visibility"] == "visible"
         if tag == "br":
-            box.end(force=True)
+            if seen:
+                box.end(force=True)
             continue
         if tag in VOID:
             if tag == "hr":
                 box.end()
                 box.space(1)
             continue
-        todo.append((node, True))
+        todo.append((node, True, seen))
         children = node.children
         if tag == "table":
             box.end()
@@ -333,7 +389,7 @@ def render(root: Element, rules: Rules) -> str:
             tables.append([])
             captions = [c for c in children if not isinstance(c, str) and c.tag == "caption"]
             children = [c for c in children if not isinstance(c, str) and c.tag != "caption"]
-            todo += [(c, False) for c in reversed(captions + children)]
+            todo += [(c, False, seen) for c in reversed(captions + children)]
             continue
         if tag == "tr" and tables:
             tables[-1].append([])
@@ -358,42 +414,67 @@ def render(root: Element, rules: Rules) -> str:
                 if counters and counters[-1] is not None:
                     mark = f"{counters[-1]}. "
                     counters[-1] += 1
-                box.lead = mark
+                box.lead = mark if seen else box.lead
                 box.indent.append(" " * len(mark))
             elif tag in ("blockquote", "dd"):
                 box.indent.append("    ")
         if tag in ROWS:
             children = [c for c in children if not isinstance(c, str) or _SPACE.sub("", c)]
-        todo += [(c, False) for c in reversed(children)]
+        todo += [(c, False, seen) for c in reversed(children)]
     box.end()
     return "\n".join(boxes[0].lines).strip("\n")
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+#: Lines, columns and rows of a cell; 0 rows: all that follow.
+Cell = tuple[list[str], int, int]
+
+
+def span_of(cell: Element, name: str, most: int) -> int:
+    """A span attribute, 1 unless it is a number, and at most HTML's own limit."""
+    span = cell.get(name) if cell.attributes else None
+    return min(most, int(span)) if span and span.isascii() and span.isdigit() else 1
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """The cells of each row as (first column, columns, lines), beside those that reach down from above."""
+    out, held = [], {}  # column: rows that a cell above still takes there
+    for i, row in enumerate(rows):
+        at, cells, down = 0, [], {}
+        for lines, span, deep in row:
+            while at in held:
+                at += 1
+            cells.append((at, span, lines))
+            deep = len(rows) - i if deep == 0 else min(deep, len(rows) - i)
+            if deep > 1:
+                down.update(dict.fromkeys(range(at, at + span), deep))
+            at += span
+        out.append(cells)
+        held = {c: n - 1 for c, n in (held | down).items() if n > 1}
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
     """Lines of a table whose cells are padded to common column widths."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
+    grid = placed(rows)
+    widths = [0] * max((at + span for row in grid for at, span, _ in row), default=0)
+    for row in grid:
+        for at, span, lines in row:
             if span == 1:
                 widths[at] = max(widths[at], max(map(len, lines)))
-            at += span
-    for row in rows:
-        at = 0
-        for lines, span in row:
+    for row in grid:
+        for at, span, lines in row:
             short = max(map(len, lines)) - sum(widths[at : at + span]) - 2 * (span - 1)
             if short > 0:
                 widths[at + span - 1] += short
-            at += span
+    starts = [0, *accumulate(w + 2 for w in widths)]
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            at, line = 0, []
-            for lines, span in row:
-                line.append((lines[i] if i < len(lines) else "").ljust(sum(widths[at : at + span]) + 2 * (span - 1)))
-                at += span
-            out.append("  ".join(line).rstrip())
+    for row in grid:
+        for i in range(max((len(lines) for _, _, lines in row), default=0)):
+            line = ""
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(starts[at]) + lines[i]
+            out.append(line.rstrip())
     return out
 
 

@@ -1,6 +1,8 @@
 """Chat, media, nearest neighbours, HTML and the pipeline: brute force, round trips and edge cases."""
 
+import collections
 import hashlib
+import html.parser
 import os
 import random
 import struct
@@ -263,6 +265,107 @@ def test_html_stray_table_text_and_media():
     assert text("<style media=print>.nav{display:none}</style><p class=nav>nav") == "nav"
 
 
+def test_html_of_any_depth():
+    """Hidden stays hidden and shown stays shown however deep, in time in proportion to the page."""
+    deep = "<div>" * 300
+    assert htmltext.visible_text(f"{deep}<p hidden>no<p>yes") == "yes"
+    assert htmltext.visible_text("<div><span hidden>no</span>" * 20_000 + "yes" + "</div></p><p>" * 20_000 + "end") == "yes\n\nend"
+    quoted = htmltext.visible_text("<blockquote>" * 500 + "yes")
+    assert quoted.strip() == "yes" and len(quoted) < 300
+    assert htmltext.visible_text("<b>" * 30_000 + "<p>a" * 3) == "a\n\na\n\na"
+
+
+VISIBILITY = {
+    "<style>div.z{display:none}</style><div class=z>no</div><p class=z>yes": "yes",
+    "<style>.a.b{display:none}#i.a{display:none}</style><p class=a>yes<p class='a b'>no<p class=a id=i>no": "yes",
+    "<style>.a{display:none} .a{display:block}</style><p class=a>yes": "yes",
+    "<style>#i{display:block} .a{display:none}</style><p class=a id=i>yes<p class=a>no": "yes",
+    "<style>.a{display:none}</style><p class=a style='display:block'>yes": "yes",
+    "<style>.a{display:none!important}</style><p class=a style='display:block'>no": "",
+    "<style>/* .a{ */ .b{display:none} /* } */</style><p class=a>yes<p class=b>no": "yes",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b><i>no</i></div>": "yes",
+    "<div style='display:none'>no<b style='visibility:visible;display:inline'>no</b></div>yes": "yes",
+    "<style>.v{visibility:hidden}.v *{color:red}td.w{visibility:visible}</style><table class=v><tr><td>no<td class=w>yes</table>": "  yes",
+    "<style>p .a{display:none}p>b{display:none}a:hover{display:none}</style><p><b class=a>yes</b> <a>too</a>": "yes too",
+    "<p data-style='display:none'>yes<p style='x-display:none'>too<p class='hidden'>also": "yes\n\ntoo\n\nalso",
+    "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tr><td>x<td rowspan=0>all<td>y<tr><td>long cell<td>z<tr><td>u<td>v</table>": "x          all  y\nlong cell       z\nu               v",
+    "<table><tr><td rowspan=99 colspan=2>a<td>b<tr><td>c</table>": "a   b\n    c",
+}
+
+
+@pytest.mark.parametrize("source", VISIBILITY)
+def test_html_visibility_and_spans(source):
+    assert htmltext.visible_text(source) == VISIBILITY[source]
+
+
+class Words(html.parser.HTMLParser):
+    """Brute force: words of all text outside what is not shown, for pages whose tags are closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.parts = [], []
+
+    def handle_starttag(self, tag, attributes):
+        attributes = dict(attributes)
+        if tag not in htmltext.VOID and (self.hidden or tag in htmltext.UNSEEN or "hidden" in attributes or "display:none" in (attributes.get("style") or "")):
+            self.hidden.append(tag)
+        elif tag in htmltext.BLOCKS or tag in ("br", "td", "th"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            if tag == self.hidden[-1]:
+                self.hidden.pop()
+        elif tag in htmltext.BLOCKS or tag in ("td", "th"):
+            self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def brute_words(source):
+    words = Words()
+    words.feed(source)
+    words.close()
+    return "".join(words.parts).split()
+
+
+def random_page(rng, depth=0):
+    """Nested blocks, lists, tables and hidden parts, all closed; words are letters only."""
+    word = lambda: "".join(rng.choices("abcdef", k=4))
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.randrange(9) if depth < 5 else 0
+        inner = lambda: random_page(rng, depth + 1)
+        out.append(
+            [
+                lambda: f" {word()} <b>{word()}</b>{word()} ",
+                lambda: f"<div>{inner()}</div>",
+                lambda: f"<p>{word()}<br>{word()}</p>",
+                lambda: "<ul>" + "".join(f"<li>{inner()}</li>" for _ in range(2)) + "</ul>",
+                lambda: "<table>" + "".join("<tr>" + "".join(f"<td{rng.choice(['', ' colspan=2', ' rowspan=2'])}>{inner()}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>",
+                lambda: f"<div hidden>{inner()}</div>",
+                lambda: f"<section style='display:none'>{inner()}</section>",
+                lambda: f"<script>{word()}</script><!-- {word()} -->",
+                lambda: f"<blockquote>{inner()}</blockquote>",
+            ][kind]()
+        )
+    return "".join(out)
+
+
+def test_html_against_brute_force(spark):
+    """Every text that is not hidden is in the output, each as often, and nothing else but bullets."""
+    rng = random.Random(3)
+    pages = [random_page(rng) for _ in range(300)]
+    pages += [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in pages:
+        found = htmltext.visible_text(page).split()
+        assert collections.Counter(x for x in found if x != "*") == collections.Counter(brute_words(page)), page
+
+
 def test_html_never_fails_and_keeps_visible_words():
     rng = random.Random(6)
     bits = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<ul>", "<li>", "</ul>", "<b>", "</b>", "<div", ">", "<", "\"", "'", "&", "&#x41;", "<!--", "-->", "<pre>", "</pre>", "word", " ", "\n", "<td colspan=99999999>", "</td>", "<br>", "<hr>", "<caption>", "<dd>", "<a href='", "</html>", "<select><option>"]
