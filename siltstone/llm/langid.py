@@ -9,8 +9,9 @@ The fit uses at most about ``PER_LANG`` texts of each language and ``WINDOWS`` w
 bounds); every whole text is classified.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with null lang are not
-learned from; with nothing to learn from, every row is ``und``; repeated rows get equal results; an
-empty table gives an empty result; other columns are ignored.
+learned from, and exact repeats of a row are learned from once; with nothing to learn from, every row is ``und``;
+repeated rows get equal results; a very long text is learned from by an excerpt and classified by all its windows; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -147,9 +148,10 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
     share = F.lit(0.0)
     for x in langs:
         share = F.when(F.col("lang") == x, min(1.0, per_lang / counts[x])).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1_000_000)) < share * 1_000_000
-    begin = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1))
-    rows = known.where(drawn).select("doc_id", "lang", F.substring("text", begin.cast("int"), F.lit(EXCERPT)).alias("text"))
+    # By a hash of the text too, as rows of one id (or of none) may be many; what still repeats is one row.
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(31)), F.lit(1_000_000)) < share * 1_000_000
+    begin = 1 + F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - EXCERPT + 1))
+    rows = known.where(drawn).select("doc_id", "lang", F.substring("text", begin.cast("int"), F.lit(EXCERPT)).alias("text")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)

@@ -9,10 +9,12 @@ each source gives its target to the word; the last slot of a source is cut to th
 
 Defined cases: null text counts 0 words and is never taken; null source is a source of its own, last;
 repeated rows and rows with equal or null doc_id are documents of their own (order in the stream: by
-hash bucket, doc_id, size); an empty table gives an empty mix; other columns are ignored.
+hash bucket, doc_id, size, hash of the row); a very long text is split into words once, which must fit in a task;
+an empty table gives an empty mix; other columns are ignored, whatever their names.
 
-Scale: only (doc_id, source, size) is shuffled, salted by hash bucket, so no source meets in one task.
-Windows without salt see one row per source, per (source, bucket) or per (source, shard) only.
+Scale: only (doc_id, source, size) is shuffled, salted by hash bucket, so no source meets in one task; texts of
+mixed documents are shuffled once, by the documents' numbers. Windows without salt see one row per source, per
+(source, bucket) or per (source, shard) only.
 """
 
 from __future__ import annotations
@@ -102,14 +104,15 @@ def slots_of(sources: DataFrame, slots: int, block_words: int, shard_slots: int,
     return each.select("shard", "rank", "slot", block.alias("block"), F.least(whole, rest).alias("words"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 17) -> Mix:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 17, number: Column | None = None) -> Mix:
     """Plan the mix of ``docs`` (doc_id, text, source): which words of which document each slot takes.
 
-    No document is taken more than ``cap`` (rounded up) times.
+    No document is taken more than ``cap`` (rounded up) times. ``number`` tells rows apart; it is kept in the plan.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "source", "lang", "n_chars")])
-    base = materialize(docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), row.alias("row")), "mix-sizes")
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(root_buckets(base.count()))))
+    number = F.monotonically_increasing_id() if number is None else number
+    base = docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row"), number.alias("number"))
+    base = materialize(base, "mix-sizes")
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(root_buckets(base.count()))))
     sums = base.groupBy("src", "bucket").agg(F.sum("size").alias("words_in"))
     sources = targets(sums.groupBy("src").agg(F.sum("words_in").alias("source_size")), weights, cap)
     sources = sources.select("src", "rank", "source_size", "target", F.round("target").cast("long").alias("words"), F.expr(f"source_size div {block_words}").alias("full"), F.expr(f"(source_size + {block_words - 1}) div {block_words}").alias("blocks"))
@@ -120,10 +123,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("words_in").over(before), F.lit(0)))
     offsets = offsets.alias("o").join(sources.alias("s"), F.expr("o.src <=> s.src")).select("o.src", "o.bucket", "o.offset", "s.rank", "s.source_size", "s.target")
-    placed = base.alias("b").join(offsets.alias("o"), F.expr("b.src <=> o.src and b.bucket = o.bucket")).select("o.rank", "b.bucket", "b.doc_id", "b.size", "b.row", "o.offset", "o.source_size", "o.target")
-    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "row")
+    placed = base.alias("b").join(offsets.alias("o"), F.expr("b.src <=> o.src and b.bucket = o.bucket")).select("o.rank", "b.bucket", "b.doc_id", "b.size", "b.row", "b.number", "o.offset", "o.source_size", "o.target")
+    within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "row", "number")
     run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.select("rank", "bucket", F.row_number().over(within).alias("rn"), "doc_id", "size", "row", (F.col("offset") + run - F.col("size")).alias("start"), "source_size", "target")
+    placed = placed.select("rank", "bucket", F.row_number().over(within).alias("rn"), "doc_id", "size", "number", (F.col("offset") + run - F.col("size")).alias("start"), "source_size", "target")
     pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})"))))
     slot = slots_of(sources, slots, block_words, shard_slots, seed)
     lo = F.greatest(F.col("start"), F.col("block") * block_words)
@@ -140,16 +143,19 @@ def taken_words(plan: Mix) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, as rows of ``docs``' document columns: one row per taken segment, its text cut to
-    the words taken (white space kept), n_chars set anew."""
+    the words taken (white space kept), n_chars set anew. Each text is split into words once."""
     columns = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-    plan = mix(docs, **options)
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c in ("doc_id", "text", "source", "lang", "n_chars")])
-    cuts = plan.taken.where("hi > lo").select("row", (F.col("lo") - F.col("start")).alias("from"), (F.col("hi") - F.col("lo")).alias("n"), "size")
-    texts = docs.select(*columns, row.alias("row")).dropDuplicates(["row"])
-    joined = texts.join(cuts, "row")
+    rows = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("number")), "mix-documents")
+    plan = mix(rows, **options, number=F.col("number"))
+    segment = F.struct((F.col("lo") - F.col("start")).cast("int").alias("from"), (F.col("hi") - F.col("lo")).cast("int").alias("n"))
+    cuts = plan.taken.where("hi > lo").groupBy("number", "size").agg(F.collect_list(segment).alias("segments"))
     words = F.regexp_extract_all("text", F.lit(rf"(?:\A[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.array_join(F.slice(words, (F.col("from") + 1).cast("int"), F.col("n").cast("int")), "")
-    joined = joined.withColumn("text", F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part))
+    whole = F.forall("segments", lambda s: s["n"] == F.col("size"))
+    # A generator's output, so that the split is not merged into each segment's expression and done anew.
+    split = F.explode(F.array(F.when(whole, F.array().cast("array<string>")).otherwise(words))).alias("words")
+    joined = rows.join(cuts, "number").select(*columns, "size", "segments", split)
+    part = lambda s: F.when(s["n"] == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice("words", s["from"] + 1, s["n"]), ""))
+    joined = joined.select(*[c for c in columns if c != "text"], F.explode(F.transform("segments", part)).alias("text"))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*columns)

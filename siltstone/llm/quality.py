@@ -6,30 +6,32 @@ words, pairs of words, and runs of one to three word shapes; a shape says how a
 its last byte is, its length class and whether it repeats the word before. They are hashed to
 ``WIDTH`` columns. A Platt sigmoid, fitted on sampled rows that the model did not see, makes scores of margins.
 
-The fit uses at most about ``SAMPLE`` labelled rows (a documented bound), chosen by hash among rows
-outside the held-out fold; every whole text is scored.
+The fit uses at most about ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` bytes of text (documented bounds), chosen by
+hash among rows outside the held-out fold, in one task; every whole text is scored.
 
 Defined cases: null and empty texts have no n-grams and get the score of the bias; rows without or with a
-null label are not used for the fit, rows with repeated labels are used once for each; without two
-classes to learn from every score is the share of label 1 (0.5 without any); repeated rows get
-equal scores; an empty table gives an empty result; other columns are ignored.
+null label are not used for the fit, rows with several labels are used once for each, exact repeats of a row are
+used once; without two classes to learn from every score is the share of label 1 (0.5 without any); repeated rows get
+equal scores; a very long text is gone through by pieces; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_held_out
 from .textbytes import buffers, mixed, slices, word_spans
 
 WIDTH = 1 << 18
-SAMPLE = 8000
+SAMPLE, SAMPLE_BYTES = 8000, 1 << 26
 THRESHOLD = 0.3
 
 
@@ -44,15 +46,17 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     upper, second = (first >= 65) & (first <= 90), own[np.minimum(starts + 1, ends - 1)]
     case = upper * 1 + ((second >= 65) & (second <= 90)) * 2 + (first >= 97) * 4
     mark = np.where((last < 48) | ((last > 57) & (last < 65)) | ((last > 90) & (last < 97)) | ((last > 122) & (last < 128)), last, 0)
+    before = np.arange(n) - np.repeat(at[:-1], np.diff(at))  # words before in the same text
+    second_on, third_on = np.flatnonzero(before >= 1), np.flatnonzero(before >= 2)
     same = np.zeros(n, np.uint64)
-    same[1:] = hashes[1:] == hashes[:-1]
+    same[second_on] = hashes[second_on] == hashes[second_on - 1]
     length = np.minimum(np.log2(ends - starts + 1).astype(np.int64), 5)
     shape = mixed(((case.astype(np.uint64) * np.uint64(256) + mark.astype(np.uint64)) * np.uint64(8) + length.astype(np.uint64)) * np.uint64(2) + same)
     a, b = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
     pair, s2, s3 = hashes.copy(), shape.copy(), shape.copy()
-    pair[1:] += hashes[:-1] * a
-    s2[1:] += shape[:-1] * a
-    s3[2:] += shape[1:-1] * a + shape[:-2] * b
+    pair[second_on] += hashes[second_on - 1] * a
+    s2[second_on] += shape[second_on - 1] * a
+    s3[third_on] += shape[third_on - 1] * a + shape[third_on - 2] * b
     cols = np.stack([(mixed(x + np.uint64(i)) % np.uint64(WIDTH)).astype(np.uint32) for i, x in enumerate((hashes, pair, shape, s2, s3))], axis=1)
     out = []
     for t in range(len(at) - 1):
@@ -150,21 +154,48 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(offsets):
             rows = ngrams(data, offsets[a : b + 1])
             flat = pa.array([r.view(np.int32) for r in rows], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("label")[a:b], flat], names=["doc_id", "label", "cols"])
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on a hash sample of about ``sample`` labelled rows outside the held-out fold."""
-    known = labels.where(F.col(label).isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label"))
-    count = known.count()
-    share = min(1.0, sample / max(1, count))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``sample`` rows by the line above
-    rows = texts.mapInArrow(_columns, "doc_id long, label int, cols array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("label").to_numpy()
-    cols = [np.asarray(c.values).view(np.uint32) for c in rows.column("cols")]
-    fold = mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(23)) % np.uint64(5) == 0
-    return fit(cols, y, fold)
+            yield pa.RecordBatch.from_arrays([batch.column("h")[a:b], batch.column("label")[a:b], flat], names=["h", "label", "cols"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model of all rows (h, label, cols)."""
+    parts = list(batches)
+    if parts:
+        rows = pa.Table.from_batches(parts).sort_by([("h", "ascending"), ("label", "ascending")])
+        y, h = rows.column("label").to_numpy(), rows.column("h").to_numpy()
+        cols = [np.asarray(c.values).view(np.uint32) for c in rows.column("cols")]
+        model = fit(cols, y, mixed(h.view(np.uint64) + np.uint64(23)) % np.uint64(5) == 0)
+        data = io.BytesIO()
+        np.savez(data, model.weights, model.ratios, np.array([model.bias, model.slope, model.shift]))
+        yield pa.RecordBatch.from_arrays([pa.array([data.getvalue()], pa.binary())], names=["model"])
+
+
+def _share(most: int, count: int) -> float:
+    return min(1.0, most / max(1, count))
+
+
+def _drawn(key: Column, share: float) -> Column:
+    return F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on a hash sample of labelled rows outside the held-out fold.
+
+    Ids are drawn first, as their labels are broadcast; then rows by a hash of their texts, as rows of one id may be many.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    known = known.select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    ids = known.where(_drawn(F.xxhash64("doc_id", F.lit(11)), _share(sample, known.count())))
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(ids), "doc_id")  # about ``sample`` ids
+    size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rows = texts.where(_drawn(F.xxhash64("h"), min(_share(sample, size[0]), _share(sample_bytes, size[1]))))
+    rows = rows.select("h", "label", "text").dropDuplicates(["h", "label"])
+    # The bounded sample is fitted in one task, where numpy has one thread: many would slow such small products.
+    fitted = rows.mapInArrow(_columns, "h long, label int, cols array<int>").repartition(1).mapInArrow(_fit, "model binary").first()
+    if fitted is None:
+        return fit([], np.zeros(0, int), np.zeros(0, bool))
+    weights, ratios, (bias, slope, shift) = np.load(io.BytesIO(fitted["model"])).values()
+    return Model(weights, float(bias), float(slope), float(shift), ratios)
 
 
 def _scorer(model: Model):

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -91,6 +92,35 @@ def test_mixing_text_matches_the_plan(spark):
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
+def test_mixing_of_equal_rows_and_ids(spark):
+    """Rows without id and of one size spread over buckets; exact repeats are documents of their own."""
+    rows = [(None, f"a{i} b{i} c{i}", "en", "a") for i in range(300)] + [(7, "same words here again", "en", "b")] * 50
+    docs = frame(spark, rows)
+    plan = mixing.mix(docs, block_words=16, shard_slots=32)
+    assert plan.documents.where("doc_id is null").select("bucket").distinct().count() > 10
+    want = {s: t for s, t in expected_targets({"a": 900, "b": 200}).items()}
+    out = mixing.taken_words(plan).collect()
+    assert len(out) == 350 and all(0 <= r["taken"] <= 3 * r["size"] for r in out)
+    taken = collections.Counter()
+    for r in out:
+        taken["b" if r["doc_id"] == 7 else "a"] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    words = collections.Counter()
+    for r in mixing.mixed_documents(docs, block_words=16, shard_slots=32).collect():
+        words[r["source"]] += size_of(r["text"])
+    assert words == taken
+
+
+def test_mixing_splits_a_long_text_once(spark):
+    """Every taken segment is cut from one split of the text: a million words take seconds."""
+    text = " ".join(f"w{i}" for i in range(1_000_000))
+    docs = frame(spark, [(1, text, "en", "a"), (2, "x y", "en", "b")])
+    began = time.monotonic()
+    out = mixing.mixed_documents(docs).agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.count(F.lit(1)), F.min("n_chars")).first()
+    assert time.monotonic() - began < 60
+    assert abs(out[0] - 1_000_002) <= 2 and out[1] > 1900 and out[2] > 0
+
+
 def test_permutation_is_exact(spark):
     for n in (1, 2, 3, 7, 64, 100):
         out = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(1), F.lit(2)).alias("p"))
@@ -118,6 +148,20 @@ def test_boundaries_are_optimal():
         assert len(found) <= k and padding(found, lengths, counts) == best
 
 
+def test_boundaries_of_many_lengths():
+    """Against the plain quadratic programme, with all lengths kept apart."""
+    rng = random.Random(7)
+    for n, k in ((300, 16), (150, 5), (400, 2), (60, 60), (200, 1)):
+        lengths = sorted(rng.sample(range(100_000), n))
+        counts = [rng.choice([1, 2, 1000]) for _ in lengths]
+        rows = [0, *itertools.accumulate(counts)]
+        best = [x * r for x, r in zip(lengths, rows[1:], strict=True)]
+        for _ in range(k - 1):
+            best = [min([best[j], *(best[i] + lengths[j] * (rows[j + 1] - rows[i + 1]) for i in range(j))]) for j in range(n)]
+        found = packing.boundaries(lengths, counts, k)
+        assert len(found) <= k and padding(found, lengths, counts) == best[-1] - sum(x * c for x, c in zip(lengths, counts, strict=True))
+
+
 def test_packing(spark):
     rows = edge_rows()
     out = packing.pack(frame(spark, rows), buckets=4, budget=200, keep=("text",)).collect()
@@ -464,6 +508,25 @@ def test_quality(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
+def test_quality_score_recomputed(spark):
+    """Scores against a plain recount of n-gram columns and sums; the sample is bounded in rows and bytes, whoever holds them."""
+    rows = [(i, f"Word{i % 7} and {'good' if i % 2 else 'BAD!!'} text {i}", "en", "a") for i in range(120)]
+    rows += [(1, f"many rows of one id {i}", "en", "a") for i in range(400)] + [(3, "the same row", "en", "a")] * 400
+    docs, marks = frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(120)] * 2, "doc_id long, quality int")
+    model = quality.train(docs, marks, sample=100, sample_bytes=3000)
+    assert np.count_nonzero(model.ratios != np.median(model.ratios)) < 3000
+    again = quality.train(docs, marks, sample=100, sample_bytes=3000)
+    assert (model.weights == again.weights).all() and model.shift == again.shift
+    for r in quality.score(docs, model).limit(40).collect():
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        if r["doc_id"] in (1, 3):
+            continue
+        (cols,) = quality.ngrams(*textbytes.buffers(pa.array([text])))
+        length = sum(float(model.ratios[c]) ** 2 for c in cols) ** 0.5
+        margin = model.bias + sum(float(model.weights[c]) for c in cols) / length
+        assert abs(r["score"] - 1 / (1 + np.exp(-(model.slope * margin + model.shift)))) < 1e-5
+
+
 def test_dual_coordinate_descent_solves_the_primal():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 5))
@@ -497,6 +560,37 @@ def test_language(spark):
     assert langid.identify(frame(spark, []), net).count() == 0
 
 
+def test_network_against_plain_loops():
+    """Probabilities against loops over filters and places."""
+    rng = np.random.default_rng(3)
+    windows = rng.integers(97, 105, (480, langid.LENGTH)).astype(np.uint8)
+    lang = np.arange(480) % 2
+    windows[lang == 1, 10:200:3] = 120
+    net = langid.fit(windows, lang, ["a", "b"])
+    p = net.probabilities(windows)
+    filters = langid.FILTERS * len(langid.WIDTHS)
+    for i in range(3):
+        x = net.embed[windows[i]]
+        top = []
+        for f in range(filters):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            kernel = net.kernel[:, f].reshape(-1, langid.DIM)[:width]
+            top.append(max(float((x[j : j + width] * kernel).sum()) for j in range(langid.LENGTH - langid._WIDE + 1)))
+        hidden = np.maximum(np.array(top) + net.bias, 0)
+        z = np.exp(hidden @ net.out + net.out_bias)
+        assert np.allclose(p[i], z / z.sum(), atol=1e-4)
+    assert (p.argmax(axis=1) == lang).mean() > 0.9
+
+
+def test_language_sample_is_bounded(spark):
+    """One row repeated very often, or rows without id, neither fill the sample nor hide the rest."""
+    rows = [(None, f"bla blo {i}", "aa", "a") for i in range(1500)] + [(1, "kwe kwo xen", "zz", "a")] * 1500 + [(i, f"kwo yzz {i}", "zz", "a") for i in range(2, 300)]
+    docs = frame(spark, rows)
+    net = langid.train(docs, per_lang=200)
+    out = langid.identify(docs, net).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"] for r in out} == {"aa", "zz"}
+
+
 def test_windows_cover_every_byte():
     texts = [b"", b"a", b"x" * 255, b"y" * 256, b"z" * 257, bytes(range(250)) * 7]
     at = np.cumsum([0, *map(len, texts)])
