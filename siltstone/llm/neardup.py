@@ -40,7 +40,7 @@ SAMPLES = BANDS * ROWS
 BITS = 256
 MARGIN = 0.2
 #: Members of a group that one task compares by sketch, and partners of one star that are confirmed in one.
-BLOCK, STAR = 4096, 512
+BLOCK, STAR = 2048, 512
 #: Rows and shingles of a part; a task confirms two parts (a set of more shingles is a part of its own).
 PART_ROWS, PART_SHINGLES = 512, 1 << 20
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
@@ -265,7 +265,8 @@ def _star_links(docs: DataFrame, reps: DataFrame, members: DataFrame, k: int, pe
     # A text is found by its row's id and hash; exact repeats of a row are the same text.
     wanted = materialize(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("own"), "h"), "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("h"), "text")
-    texts = materialize(texts.join(wanted, ["own", "h"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
+    # The ids wanted grow with the input: no broadcast, at any size.
+    texts = materialize(texts.join(wanted.hint("merge"), ["own", "h"]).select("id", "text").dropDuplicates(["id"]), "near-texts")
     count = pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).select("rep", F.expr(f"(c + {STAR - 1}) div {STAR}").alias("chunks"))
     count = materialize(count, "near-stars")  # a plain join side, so that Spark can split a hot star's rows
     stars = pairs.join(count, "rep").select("rep", "id", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
