@@ -1,4 +1,7 @@
-"""Tables that cut lineage: written to the folder that the cluster shares, dropped when the application ends."""
+"""Tables that cut lineage: written to the folder that the cluster shares, dropped when they are done with.
+
+A table goes when the ``scope`` ends in which it was written, and at the latest when the application ends.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +9,28 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[int, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Path: session, in the order of writing.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+class ScratchError(RuntimeError):
+    """There is no folder that all executors share."""
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where unset, a folder of our own."""
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset and the executors are this
+    machine's, a folder of our own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master.partition("[")[0] != "local":
+        raise ScratchError(f"set spark.checkpoint.dir to a folder that all executors share (the master is {master})")
     key = id(spark.sparkContext)
     if key not in _OWN:
         _OWN[key] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -31,11 +44,16 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _drop(path: str) -> None:
+    if spark := _WRITTEN.pop(path, None):
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete_path(spark, path)
+
+
 @atexit.register
 def _drop_all() -> None:
-    while _WRITTEN:
-        with contextlib.suppress(Exception):  # the session may be gone
-            delete_path(*_WRITTEN.pop())
+    for path in reversed(list(_WRITTEN)):
+        _drop(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -45,6 +63,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Drop tables that ``materialize`` returned; nothing may read them any more."""
+    for t in tables:
+        _drop(t.scratch_path)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are dropped at the end, but those given to the function that it yields. What reads
+    them must be written inside too."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.scratch_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _WRITTEN if p not in before and p not in kept]:
+            _drop(path)

@@ -1,10 +1,14 @@
 """Operators on small hand-made tables."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import scratch
 from siltstone.functions import cbor
 from siltstone.operators import cache, dedup, diff, filters, packs, restore, snapshots, trees, windows
+from siltstone.plans.queries import QUERIES
 from siltstone.streaming import ingest
 
 
@@ -138,3 +142,46 @@ def test_stream_ingest_resumes(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 3)], schema).coalesce(1).write.mode("append").parquet(source)
     ingest.ingest(stream(), table, check).awaitTermination()
     assert sorted(r["blob_id"] for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+
+
+def scratch_tables(spark):
+    where = scratch.scratch_dir(spark).removeprefix("file://") + "/siltstone"
+    return set(os.listdir(where)) if os.path.isdir(where) else set()
+
+
+def test_scratch_is_empty_after_a_scope(spark):
+    before = scratch_tables(spark)
+    with scratch.scope() as keep:
+        first = scratch.materialize(spark.range(10), "first")
+        kept = keep(scratch.materialize(first.where("id > 3"), "kept"))
+        with scratch.scope():
+            inner = scratch.materialize(first, "inner")
+            assert inner.count() == 10
+        names = {n.split("-")[0] for n in scratch_tables(spark) - before}
+        assert names == {"first", "kept"}
+    assert {n.split("-")[0] for n in scratch_tables(spark) - before} == {"kept"} and kept.count() == 6
+    scratch.free(kept)
+    assert scratch_tables(spark) == before
+
+
+@pytest.mark.parametrize("name", ["tree_flatten", "merkle_rollup", "pack_binning", "tree_cycle_check"])
+def test_scratch_is_empty_after_a_query(spark, tmp_path, name):
+    before = scratch_tables(spark)
+    with scratch.scope():
+        QUERIES[name](spark, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/out")
+        assert scratch_tables(spark) != before
+    assert scratch_tables(spark) == before
+
+
+def test_scratch_wants_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(scratch.ScratchError):
+        scratch.scratch_dir(Session())
+    Conf.get = lambda self, key, default=None: {"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"}.get(key, default)
+    assert scratch.scratch_dir(Session()) == "hdfs://x/y"
