@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, linededup, mixing, neardup, packing
-from siltstone.llm.common import WORD, materialize, table
+from siltstone.llm.common import WORD, materialize, scope, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scope() as keep:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            with scope() as keep_stage:  # what a stage wrote goes when its result is written
+                docs = keep_stage(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import free, materialize, scope
 
-__all__ = ["WORD", "is_held_out", "materialize", "numbered", "root_buckets", "table", "word_count"]
+__all__ = ["WORD", "free", "is_held_out", "materialize", "numbered", "root_buckets", "scope", "table", "word_count"]
 
 #: A word is a maximal run of anything but space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, "cc")
     state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first: a plain join side, so that Spark can split the rows of a hot node.
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "cc")
+        old, edges = edges, materialize(small, "cc")
+        free(old, least, large, low)
         now = _state(edges)
         if now == state:
             break

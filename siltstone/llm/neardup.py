@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scope
 from .components import connected_components
 from .textbytes import buffers, mixed, shingle_sets, slices
 
@@ -344,10 +344,12 @@ def _same_document(known: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept. Documents are linked if 100 times the common
     shingles are at least ``percent`` times all of the two sets' shingles."""
-    signed, classes = classes_of(docs, k, percent)
-    classes = materialize(classes, "near-components")
-    tops = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")), "near-tops")
-    of_class = materialize(classes.join(tops, "component").select(*DIGEST, "component_id"), "near-ids")
+    with scope() as keep:
+        signed, classes = classes_of(docs, k, percent)
+        classes = materialize(classes, "near-components")
+        tops = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")), "near-tops")
+        of_class = keep(materialize(classes.join(tops, "component").select(*DIGEST, "component_id"), "near-ids"))
+        keep(signed)
     rows = signed.where("n > 0 and doc_id is not null").select("doc_id", *DIGEST).join(of_class, DIGEST).select("doc_id", "n", "component_id")
     # Rows without words take their document's component from its other rows, if it has any.
     empty = signed.where("n = 0 or doc_id is null").select("doc_id", "n")

@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import os
 import random
 import re
 import time
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from siltstone import scratch
 from siltstone.llm import components, langid, linededup, mixing, neardup, packing, quality, textbytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, bucket string, __salt string, id long, component string"
@@ -600,3 +602,17 @@ def test_windows_cover_every_byte():
         own = windows[first[i] : first[i + 1]]
         assert b"".join(w[:u].tobytes() for w, u in zip(own[:-1], used[first[i] : first[i + 1] - 1], strict=True)) + own[-1].tobytes()[: len(t) - (len(own) - 1) * langid._STRIDE] == t
         assert len(own) * langid._STRIDE + langid._WIDE - 1 >= len(t)
+
+
+@pytest.mark.parametrize("name", ["near_duplicates", "lines", "mix", "pack"])
+def test_scratch_is_empty_after_a_stage(spark, tmp_path, name):
+    """What a stage writes in between goes when it is done; at the end of a scope nothing is left."""
+    where = scratch.scratch_dir(spark).removeprefix("file://") + "/siltstone"
+    tables = lambda: set(os.listdir(where)) if os.path.isdir(where) else set()
+    before = tables()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    with scratch.scope():
+        out = getattr(corpus_pipeline, name)(spark, docs, "/root/testdata/sf0.001")
+        assert len(tables() - before) <= 4
+        out.write.parquet(f"{tmp_path}/out")
+    assert tables() == before
