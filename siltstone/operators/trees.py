@@ -50,6 +50,52 @@ def unfold(trees: DataFrame, roots: DataFrame, keys: tuple[str, ...] = (), recur
         depth += 1
 
 
+def reachable_trees(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct ids of the trees that roots (tree_id) reach, roots included. A round takes the trees not met before, so
+    rounds and rows follow the distinct trees, however many roots or paths lead to them."""
+    edges = materialize(trees.where("subtree is not null").select("tree_id", "subtree").distinct(), "tree-edges")
+    front = materialize(roots.select("tree_id").distinct(), "tree-front")
+    seen = front
+    while not front.isEmpty():
+        below = front.join(edges, "tree_id").select(F.col("subtree").alias("tree_id")).distinct()
+        front = materialize(below.join(seen, "tree_id", "left_anti"), "tree-front")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def visits(trees: DataFrame, roots: DataFrame) -> DataFrame:
+    """How often each tree stands below roots (tree_id, visits: how many roots it is), roots included: (tree_id, visits).
+
+    A round adds the counts of all paths of one length, so its rows are distinct trees and not paths."""
+    edges = trees.where("subtree is not null").groupBy("tree_id", "subtree").agg(F.count(F.lit(1)).alias("times"))
+    edges = materialize(edges, "tree-edges")
+    level = materialize(roots.groupBy("tree_id").agg(F.sum("visits").cast("long").alias("visits")), "tree-visits")
+    out, depth, most = level, 0, None
+    while not level.isEmpty():
+        if depth >= 64:  # deep or endless: no path without a cycle is longer than there are trees
+            most = trees.select("tree_id").distinct().count() if most is None else most
+            if depth > most:
+                raise CycleError("a directory holds itself")
+        below = level.join(edges, "tree_id").groupBy(F.col("subtree").alias("tree_id")).agg(F.sum(F.col("visits") * F.col("times")).cast("long").alias("visits"))
+        level = materialize(below, "tree-visits")
+        out, depth = out.unionByName(level), depth + 1
+    return out.groupBy("tree_id").agg(F.sum("visits").alias("visits"))
+
+
+def holders(trees: DataFrame, lost: DataFrame) -> DataFrame:
+    """Trees that reach lost blobs (blob_id) through their files' chunks or directories: (blob_id, tree_id), a lost tree
+    itself included. It climbs from the blobs, so it costs nothing where none is lost."""
+    chunks = trees.where("kind = 'file'").select(F.explode("chunks").alias("blob_id"), "tree_id").join(lost, "blob_id", "left_semi")
+    edges = materialize(trees.where("subtree is not null").select("tree_id", "subtree").distinct(), "tree-edges")
+    front = materialize(chunks.unionByName(lost.select("blob_id", F.col("blob_id").alias("tree_id"))).distinct(), "holders")
+    seen = front
+    while not front.isEmpty():
+        above = front.withColumnRenamed("tree_id", "subtree").join(edges, "subtree").select("blob_id", "tree_id").distinct()
+        front = materialize(above.join(seen, ["blob_id", "tree_id"], "left_anti"), "holders")
+        seen = seen.unionByName(front)
+    return seen
+
+
 def cycles(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """Edges that close a cycle: those left when nodes without children, then their edges, are taken away until
     none goes, and likewise nodes without parents."""

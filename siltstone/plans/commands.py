@@ -39,6 +39,30 @@ def _references(repo: Repository, chosen: DataFrame) -> DataFrame:
     return refs.join(times, "snapshot_id").join(lengths, "blob_id", "left")
 
 
+def _reached(repo: Repository, chosen: DataFrame) -> DataFrame:
+    """Distinct blobs that snapshots reach (blob_id, kind), by distinct trees."""
+    own = materialize(repo.trees(), "trees")
+    below = trees.reachable_trees(own, chosen.where(F.col("tree_id") != EMPTY_TREE)).where(F.col("tree_id") != EMPTY_TREE)
+    chunks = own.where("kind = 'file'").join(below, "tree_id", "left_semi").select(F.explode("chunks").alias("blob_id")).distinct()
+    return chunks.withColumn("kind", F.lit("chunk")).unionByName(below.select(F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind")))
+
+
+def _visited(repo: Repository, chosen: DataFrame) -> DataFrame:
+    """Blobs and how often all snapshots visit them: blob_id, kind, visits."""
+    own = materialize(repo.trees(), "trees")
+    roots = chosen.where(F.col("tree_id") != EMPTY_TREE).groupBy("tree_id").agg(F.count(F.lit(1)).alias("visits"))
+    met = materialize(trees.visits(own, roots).where(F.col("tree_id") != EMPTY_TREE), "visits")
+    chunks = own.where("kind = 'file'").join(met, "tree_id").select(F.explode("chunks").alias("blob_id"), "visits").groupBy("blob_id").agg(F.sum("visits").alias("visits"))
+    return chunks.select("blob_id", F.lit("chunk").alias("kind"), "visits").unionByName(met.select(F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind"), "visits"))
+
+
+def _missing_chunks(repo: Repository, chosen: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Blobs that snapshots reach and no pack holds: chunk, snapshots (how many reach it), first_snapshot."""
+    lost = materialize(packs.missing(_reached(repo, chosen), manifest, "blob_id"), "lost")
+    held = trees.holders(repo.trees(), lost).join(chosen.select("tree_id", "snapshot_id"), "tree_id").select(F.col("blob_id").alias("chunk"), "snapshot_id").distinct()
+    return held.groupBy("chunk").agg(F.count(F.lit(1)).alias("snapshots"), F.min("snapshot_id").alias("first_snapshot"))
+
+
 def backup(repo: Repository, roots: list[str], skips: Iterable[str] = (), author: str = "", tags: Iterable[str] = (), follow: bool = False, allow_empty: bool = False, allow_repeat: bool = False, dry_run: bool = False, force_hash: bool = False, time_ns: int | None = None, chunker: tuple[int, int, int] | None = None) -> dict:
     """Back up file trees. Returns what was done: snapshot (None if none was made), tree and byte counts."""
     spark = repo.spark
@@ -108,11 +132,10 @@ def check(repo: Repository, read_packs: bool = False) -> dict[str, DataFrame | b
     """What is wrong: missing packs and chunks (or corrupt blobs) fail; unindexed packs only warn."""
     manifest, there = materialize(repo.manifest(), "manifest"), repo.pack_names()
     chosen = repo.snapshots()
-    refs = _references(repo, chosen)
     out: dict[str, DataFrame | bool] = {
         "missing_packs": packs.missing(manifest, there, "pack_id"),
         "unindexed_packs": packs.missing(there, manifest, "pack_id"),
-        "missing_chunks": packs.missing_chunks(refs.withColumnRenamed("blob_id", "chunk"), manifest.select(F.col("blob_id").alias("chunk")), "chunk", "snapshot_id"),
+        "missing_chunks": _missing_chunks(repo, chosen, manifest),
         "duplicates": dedup.uniqueness_violations(manifest),
     }
     bad = [out["missing_packs"], out["missing_chunks"], out["duplicates"]]
@@ -254,7 +277,7 @@ def forget(repo: Repository, selectors: list[str], dry_run: bool = False) -> lis
 def prune(repo: Repository, dry_run: bool = False) -> dict[str, int]:
     """Rewrite packs that hold dead blobs. Returns how many packs are kept, rewritten and dropped, and indexes replaced."""
     manifest = materialize(repo.manifest(), "manifest")
-    live = materialize(packs.reachable(_references(repo, repo.snapshots()), "blob_id"), "live")
+    live = materialize(_reached(repo, repo.snapshots()).select("blob_id"), "live")
     classes = materialize(packs.classify(manifest, live, "pack_id", "blob_id", "length"), "classes")
     found = {r["class"]: r["packs"] for r in packs.class_totals(classes).collect()}
     old = repo.index_names()
@@ -385,9 +408,10 @@ def snapshot_stat(repo: Repository, selectors: list[str] | None = None, metadata
 def usage(repo: Repository) -> DataFrame:
     """One row: snapshots, first and last time, unique and reused bytes, packs, indexes, packed and unused bytes, stored bytes."""
     every, manifest = repo.snapshots(), repo.manifest()
-    refs = _references(repo, every)
-    order = [F.col("time_ns"), F.col("snapshot_id"), F.col("parts"), F.col("seq")]
-    sizes = dedup.introduced(refs, "blob_id", "length", order, ["snapshot_id"]).agg(F.coalesce(F.sum("introduced"), F.lit(0)).alias("unique_bytes"), F.coalesce(F.sum("reused"), F.lit(0)).alias("reused_bytes"))
+    lengths = dedup.blob_map(manifest, "length").select("blob_id", "length")
+    met = _visited(repo, every).groupBy("blob_id").agg(F.sum("visits").alias("visits")).join(lengths, "blob_id")
+    unique, reused = F.sum("length"), F.sum((F.col("visits") - 1) * F.col("length"))
+    sizes = met.agg(F.coalesce(unique, F.lit(0)).alias("unique_bytes"), F.coalesce(reused, F.lit(0)).alias("reused_bytes"))
     heads = every.agg(F.count(F.lit(1)).alias("snapshots"), F.min("time_ns").alias("first_ns"), F.max("time_ns").alias("last_ns"))
     packed = manifest.agg(F.count_distinct("pack_id").alias("packs"), F.coalesce(F.sum("length"), F.lit(0)).alias("packed_bytes"))
     stored = objects.totals_by_prefix(repo.objects()).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("stored_bytes"))
