@@ -13,6 +13,11 @@ def digest(content: Column, bits: int = 224) -> Column:
     return F.sha2(content.cast("binary"), bits)
 
 
+def checksum(content: Column) -> Column:
+    """SHA-1 as hex text, as object stores want it with an upload."""
+    return F.sha1(content.cast("binary"))
+
+
 def base32(hex_digest: Column) -> Column:
     """Base32hex text of a 224-bit hex digest: 20 bits (5 hex digits, 4 symbols) at a time; the last
     hex digit and a zero bit make the 45th symbol."""

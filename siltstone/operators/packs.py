@@ -75,9 +75,10 @@ def bins(manifest: DataFrame, length: str, target: int, order: list[Column], out
     return running_sum(manifest, length, order, "__before").withColumn(out, F.floor(F.col("__before") / target).cast("long")).drop("__before")
 
 
-def pack_up(blobs: DataFrame, target: int, lanes: int, blob: str = "blob_id", length: str = "length") -> DataFrame:
+def pack_up(blobs: DataFrame, target: int, lanes: int, blob: str = "blob_id", length: str = "length", lane: Column | None = None) -> DataFrame:
     """Assign blobs to packs that close when they reach ``target``, running anew in each of ``lanes`` (as parallel
-    packers do): adds lane and pack_no. A pack overshoots by one blob at most and splits none."""
+    packers do): adds lane and pack_no. A pack overshoots by one blob at most and splits none. ``lane`` is a hash
+    of the id unless given."""
     names = [f.name for f in blobs.schema.fields]
     at = names.index(length)
 
@@ -94,7 +95,7 @@ def pack_up(blobs: DataFrame, target: int, lanes: int, blob: str = "blob_id", le
                 filled += x
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "pack_no"])
 
-    laned = blobs.withColumn("lane", F.pmod(F.xxhash64(blob), F.lit(lanes)).cast("int"))
+    laned = blobs.withColumn("lane", (F.pmod(F.xxhash64(blob), F.lit(lanes)) if lane is None else lane).cast("int"))
     dealt = laned.repartitionByRange(lanes, "lane").sortWithinPartitions("lane", blob)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
     return dealt.mapInArrow(run, f"{kinds}, pack_no int")

@@ -91,6 +91,27 @@ def object_id_base32(spark, sf_dir):
     return docs.select("doc_id", "blob_id", ids.short_id(F.col("blob_id")).alias("short"), ids.base32_to_hex(F.col("blob_id")).alias("digest"))
 
 
+_SYMBOL = "substr('0123456789abcdefghijklmnopqrstuv', ({}) + 1, 1)"
+
+
+@query(f"""
+SELECT doc_id, digest, substr(blob_id, 1, 8) AS short, blob_id FROM (
+  SELECT doc_id, h AS digest, array_to_string(list_transform(range(0, 11), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: {_SYMBOL.format("(CAST('0x' || substr(h, 1 + 5 * i, 5) AS INT) >> s) & 31")}), '')), '') || {_SYMBOL.format("CAST('0x' || substr(h, 56, 1) AS INT) * 2")} AS blob_id
+  FROM (SELECT doc_id, substr(sha256(text), 1, 56) AS h FROM documents))
+""")
+def base32_text(spark, sf_dir):
+    """224 bits as an id's text, its short form, and the digits read back"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.base32(F.left(ids.digest(F.col("text"), 256), F.lit(56))).alias("blob_id"))
+    return docs.select("doc_id", ids.base32_to_hex(F.col("blob_id")).alias("digest"), ids.short_id(F.col("blob_id")).alias("short"), "blob_id")
+
+
+@query("SELECT doc_id, sha1(text) AS checksum FROM documents")
+def upload_checksum(spark, sf_dir):
+    """The SHA-1 that an upload is sent with"""
+    return table(spark, sf_dir, "documents").select("doc_id", ids.checksum(F.col("text")).alias("checksum"))
+
+
 @query("""
 SELECT doc_id, seq, CAST(strlen(chunk) AS BIGINT) AS length, sha256(chunk) AS blob_id
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS chunk, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents)
@@ -351,13 +372,14 @@ def prune_plan(spark, sf_dir):
 
 
 @query(f"""
-WITH {_CLASSES}, kept AS (SELECT l_partkey FROM lineitem JOIN classes ON l_orderkey = pack_id WHERE live_entries = entries AND l_orderkey % 50 = 0)
-SELECT DISTINCT l_partkey AS blob_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 40 AND l_partkey NOT IN (SELECT l_partkey FROM kept)
+WITH {_CLASSES.replace("p_size < 40", "p_size < 10")}, kept AS (SELECT l_partkey FROM lineitem JOIN classes ON l_orderkey = pack_id WHERE live_entries = entries)
+SELECT DISTINCT l_partkey AS blob_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 AND l_partkey NOT IN (SELECT l_partkey FROM kept)
 """)
 def repack_blobs(spark, sf_dir):
-    """Live blobs outside reusable packs (here one in fifty counts as such, so that some are left)"""
-    manifest, live = _manifest(spark, sf_dir), _live(spark, sf_dir)
-    classes = packs.classify(manifest, live, "pack_id", "blob_id", "length").where("pack_id % 50 = 0")
+    """Live blobs (here of small parts) outside all reusable packs"""
+    manifest = _manifest(spark, sf_dir)
+    live = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("blob_id"))
+    classes = packs.classify(manifest, live, "pack_id", "blob_id", "length")
     return packs.to_repack(manifest, live, classes, "pack_id", "blob_id")
 
 
@@ -515,6 +537,17 @@ def lru_evict(spark, sf_dir):
     return cache.evict(rows, 1_000_000, "size", [F.desc("time_us"), F.desc("name")]).select("name", "size")
 
 
+@query("""
+SELECT event_id AS name, value AS size FROM (
+  SELECT *, sum(value) OVER (ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT event_id, ts, round(value * 100) AS value FROM events)) WHERE coalesce(before, 0) >= (SELECT 2 * max(round(value * 100)) FROM events)
+""")
+def chunk_cache(spark, sf_dir):
+    """What a cache of chunks drops that is trimmed to twice the largest"""
+    rows = _events(spark, sf_dir).select(F.col("snapshot_id").alias("name"), "time_us", F.round(F.col("value") * 100).alias("size"))
+    return cache.trim(rows, "size", [F.desc("time_us"), F.desc("name")]).select("name", "size")
+
+
 @query("""
 SELECT CAST(floor(before / 1000) AS BIGINT) AS bin, count(*) AS blobs, CAST(sum(n) AS BIGINT) AS bytes FROM (
   SELECT n, coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
@@ -527,11 +560,23 @@ def pack_binning(spark, sf_dir):
     return packs.bins(items, "n", 1000, order).groupBy("bin").agg(F.count(F.lit(1)).alias("blobs"), F.sum("n").alias("bytes"))
 
 
-@query()
+@query("""
+WITH RECURSIVE blobs AS (
+  SELECT sha256(text) AS blob_id, max(CAST(strlen(text) AS BIGINT)) AS n, CAST('0x' || substr(sha256(text), 1, 2) AS INT) % 4 AS lane FROM documents GROUP BY 1
+), numbered AS (SELECT lane, n, row_number() OVER (PARTITION BY lane ORDER BY blob_id) AS k FROM blobs),
+filling AS (
+  SELECT lane, k, n, 0 AS pack_no, n AS filled FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT b.lane, b.k, b.n, CASE WHEN f.filled >= 200000 THEN f.pack_no + 1 ELSE f.pack_no END, CASE WHEN f.filled >= 200000 THEN b.n ELSE f.filled + b.n END
+  FROM filling f JOIN numbered b ON b.lane = f.lane AND b.k = f.k + 1
+)
+SELECT lane, pack_no, count(*) AS blobs, CAST(sum(n) AS BIGINT) AS bytes FROM filling GROUP BY 1, 2
+""")
 def pack_filling(spark, sf_dir):
     """Packs that close when full, in four lanes"""
     blobs = content_hash(spark, sf_dir).dropDuplicates(["blob_id"])
-    return packs.pack_up(blobs, 200_000, 4).groupBy("lane", "pack_no").agg(F.count(F.lit(1)).alias("blobs"), F.sum("length").alias("bytes"))
+    lane = F.conv(F.left("blob_id", F.lit(2)), 16, 10).cast("int") % 4
+    return packs.pack_up(blobs, 200_000, 4, lane=lane).groupBy("lane", "pack_no").agg(F.count(F.lit(1)).alias("blobs"), F.sum("length").alias("bytes"))
 
 
 # -- files: changed, skipped, copied, restored
@@ -606,7 +651,9 @@ def reassemble_file(spark, sf_dir):
     return restore.reassemble(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
 
 
-@query()
+@query("""
+SELECT l_orderkey, '{"type":"chunk","length":' || CAST(l_quantity AS BIGINT) || ',"id":' || l_partkey || '}' AS json FROM lineitem
+""")
 def cat_json(spark, sf_dir):
     """Rows as JSON"""
     return table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_json(F.struct(F.lit("chunk").alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").alias("id"))).alias("json"))
@@ -654,21 +701,27 @@ def human_size(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/')[-1] AS last, ends_with(url, '/') AS slash,
-  len(list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '')) AS depth FROM pages WHERE NOT ends_with(url, '/')
+SELECT page_id, parts[-1] AS last, ends_with(url, '/') AS slash, len(parts) AS depth
+FROM (SELECT *, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS parts FROM pages)
 """)
 def path_functions(spark, sf_dir):
     """Components of paths"""
     path = F.regexp_replace("url", "^https?://", "")
-    return table(spark, sf_dir, "pages").where(~paths.has_trailing_slash(F.col("url"))).select("page_id", paths.last_component(path).alias("last"), paths.has_trailing_slash(F.col("url")).alias("slash"), F.size(paths.parts(path)).cast("long").alias("depth"))
+    found = [paths.last_component(path).alias("last"), paths.has_trailing_slash(F.col("url")).alias("slash"), F.size(paths.parts(path)).cast("long").alias("depth")]
+    return table(spark, sf_dir, "pages").select("page_id", *found)
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(CAST(epoch_us(ts) % 1000000 AS BIGINT) * 1000 + 7 AS VARCHAR), 9, '0') || 'Z' AS moment FROM events")
+@query("""
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(CAST(epoch_us(ts) % 1000000 AS BIGINT) * 1000 + 7 AS VARCHAR), 9, '0') || 'Z' AS moment,
+       epoch_us(ts) * 1000 + 7 AS ns, strftime(ts, '%a %b %-d %Y %H:%M:%S') AS shown, CASE WHEN event_id % 3 > 0 THEN CAST(epoch_us(ts) * 1000 AS VARCHAR) ELSE 'none' END AS file_time FROM events
+""")
 def time_text(spark, sf_dir):
-    """Nanoseconds as text, and back"""
+    """Nanoseconds as text, and back; for people; and from counts of 100 ns since 1601, where 0 is none"""
     ns = _moment() * 1000 + 7
     text = times.to_text(ns)
-    return table(spark, sf_dir, "events").where(times.parse(text) == ns).select("event_id", text.alias("moment"))
+    ticks = F.when(F.col("event_id") % 3 > 0, (_moment() + 11_644_473_600_000_000) * 10).otherwise(0)
+    events = table(spark, sf_dir, "events")
+    return events.select("event_id", text.alias("moment"), times.parse(text).alias("ns"), times.display(ns).alias("shown"), F.coalesce(times.from_filetime(ticks).cast("string"), F.lit("none")).alias("file_time"))
 
 
 @query("SELECT lang AS prefix, count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE source <> 'src3' GROUP BY 1")
