@@ -299,6 +299,8 @@ def _other_links(reps: DataFrame, texts: DataFrame, held: DataFrame, k: int, per
     block = F.expr("least(own, other) * blocks + greatest(own, other)").alias("block")
     rest = rest.withColumn("other", other).select("key", "cell", block, "id", "component", "n", "own_cell", *SKETCH)
     sketch_sql = ", ".join(f"{s} long" for s in SKETCH)
+    # Dealt anew: the join left all blocks of a group in one task.
+    rest = rest.repartition(F.col("key"), F.col("cell"), F.col("block"))
     near = rest.groupBy("key", "cell", "block").applyInArrow(_candidates(most, percent), f"key long, cell long, block long, id long, component long, {sketch_sql}, pair long")
     near = materialize(near, "near-candidates")
     more = near.join(texts, "id").groupBy("key", "cell", "block", "pair").applyInArrow(_confirm_rest(k, percent, most), "u long, v long")
