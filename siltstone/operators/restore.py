@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .diff import compare
 
+#: Ending of a file that is not whole yet.
+PART = ".part"
+
 
 def plan(filesystem: DataFrame, snapshot: DataFrame, keys: list[str], delete: bool = False, times: bool = False, permissions: bool = False, contents: str = "chunks") -> DataFrame:
     """Actions (keys, code, kind, target): the file system is the old side, the snapshot the new one.
@@ -38,53 +41,62 @@ def reassemble(chunks: DataFrame, key: list[str], seq: str, text: str, out: str
     return chunks.groupBy(*key).agg(F.array_join(F.transform(pieces, lambda x: x["t"]), "").alias(out))
 
 
-def reassemble_bytes(chunks: DataFrame, key: str, seq: str = "seq", content: str = "bytes") -> DataFrame:
-    """Contents of chunks joined in order of ``seq``: (key, content)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by(seq)
-        return pa.table({key: rows.column(key).slice(0, 1), "content": pa.array([b"".join(rows.column(content).to_pylist())], pa.binary())})
-
-    kind = chunks.schema[key].dataType.simpleString()
-    return chunks.groupBy(key).applyInArrow(run, f"`{key}` {kind}, content binary")
-
-
 def remap(parts: Column, target: Column) -> Column:
     """A path with its first component replaced by the target it is restored to."""
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     return F.concat_ws("/", F.concat(F.array(target), rest))
 
 
-def apply_plan(rows: Iterator, root: str) -> Iterator[tuple[str, str]]:
-    """Carry out actions below ``root`` on this machine: rows (parts, code, kind, target, content, meta, set_times, set_mode).
-
-    Directories are made first and removed last; links are not followed.
-    """
-    rows = list(rows)
-    for r in sorted((r for r in rows if r["code"] == "-"), key=lambda r: r["parts"], reverse=True):
-        path = os.path.join(root, *r["parts"])
-        if os.path.islink(path) or os.path.isfile(path):
-            os.unlink(path)
-        elif os.path.isdir(path):
-            shutil.rmtree(path)
-        yield "-", path
-    for r in sorted((r for r in rows if r["code"] != "-"), key=lambda r: r["parts"]):
-        path = os.path.join(root, *r["parts"])
-        if r["code"] in "+C":
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            if r["kind"] == "directory":
-                os.makedirs(path, exist_ok=True)
-            elif r["kind"] == "symlink":
-                os.symlink(r["target"], path)
+def remove(rows: Iterator) -> None:
+    """Remove what stands at places (place, depth); directories with all that they hold, links without following them."""
+    for r in rows:
+        with contextlib.suppress(FileNotFoundError):  # gone with its directory
+            if os.path.isdir(r["place"]) and not os.path.islink(r["place"]):
+                shutil.rmtree(r["place"], ignore_errors=True)
             else:
-                temporary = path + ".part"
-                with open(temporary, "wb") as f:
-                    f.write(r["content"] or b"")
-                os.replace(temporary, path)
-        yield r["code"], path
-    for r in sorted((r for r in rows if r["code"] != "-"), key=lambda r: r["parts"], reverse=True):
-        path, meta = os.path.join(root, *r["parts"]), r["meta"]
-        if meta and r["set_mode"] and r["kind"] != "symlink":
-            os.chmod(path, meta["mode"] & 0o7777)
-        if meta and r["set_times"]:
-            os.utime(path, ns=(meta["atime_ns"], meta["mtime_ns"]), follow_symlinks=False)
+                os.unlink(r["place"])
+
+
+def create(rows: Iterator) -> None:
+    """Make directories, links, and empty files under temporary names (place, kind, target)."""
+    for r in rows:
+        os.makedirs(os.path.dirname(r["place"]), exist_ok=True)
+        if r["kind"] == "directory":
+            os.makedirs(r["place"], exist_ok=True)
+        elif r["kind"] == "symlink":
+            with contextlib.suppress(FileNotFoundError):  # of an attempt before
+                os.unlink(r["place"])
+            os.symlink(r["target"], r["place"])
+        else:
+            with open(r["place"] + PART, "wb"):
+                pass
+
+
+def write_pieces(rows: Iterator) -> None:
+    """Write chunks (place, offset, bytes) where they belong in files under temporary names, in any order."""
+    for r in rows:
+        with open(r["place"] + PART, "r+b") as f:
+            f.seek(r["offset"])
+            f.write(r["bytes"])
+
+
+def finish(rows: Iterator) -> None:
+    """Put written files (path) in place."""
+    for r in rows:
+        with contextlib.suppress(FileNotFoundError):  # done by an attempt before
+            os.replace(r["path"] + PART, r["path"])
+
+
+def setter(times: bool, permissions: bool) -> Callable[[Iterator], None]:
+    """Set modes and times of places (place, kind, meta)."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            if r["meta"] is None:
+                continue
+            if permissions and r["kind"] != "symlink":
+                os.chmod(r["place"], r["meta"]["mode"] & 0o7777)
+            if times:
+                os.utime(r["place"], ns=(r["meta"]["atime_ns"], r["meta"]["mtime_ns"]), follow_symlinks=False)
+
+    return run

@@ -83,8 +83,8 @@ def visits(trees: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def holders(trees: DataFrame, lost: DataFrame) -> DataFrame:
-    """Trees that reach lost blobs (blob_id) through their files' chunks or directories: (blob_id, tree_id), a lost tree
-    itself included. It climbs from the blobs, so it costs nothing where none is lost."""
+    """Trees that reach lost blobs (blob_id) through their files' chunks or directories: (blob_id, tree_id), and each lost
+    blob itself, as it may be a tree. It climbs from the blobs, so it costs nothing where none is lost."""
     chunks = trees.where("kind = 'file'").select(F.explode("chunks").alias("blob_id"), "tree_id").join(lost, "blob_id", "left_semi")
     edges = materialize(trees.where("subtree is not null").select("tree_id", "subtree").distinct(), "tree-edges")
     front = materialize(chunks.unionByName(lost.select("blob_id", F.col("blob_id").alias("tree_id"))).distinct(), "holders")

@@ -6,7 +6,7 @@ import os
 import time as clock
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cbor import EMPTY_TREE
@@ -17,8 +17,8 @@ from ..sources import filesystem, objects
 from ..sources.repository import PACK_SIZE, Repository, RepositoryError
 
 
-def init(spark: SparkSession, root: str, pack_size: int = PACK_SIZE) -> Repository:
-    return Repository(spark, root).init(pack_size)
+def init(spark: SparkSession, root: str, pack_size: int = PACK_SIZE, filter: str | None = None, unfilter: str | None = None) -> Repository:
+    return Repository(spark, root).init(pack_size, filter, unfilter)
 
 
 def _flat(repo: Repository, chosen: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def cat(repo: Repository, kind: str, name: str) -> DataFrame:
         raise RepositoryError(f"no blob {name}")
     if held[0]["blob_type"] == "tree":
         return repo.trees().where(F.col("tree_id") == name).orderBy("name").select(F.to_json(F.struct("*")).alias("json"))
-    return repo.blobs().where((F.col("kind") == "chunk") & (F.col("pack_id") == held[0]["pack_id"]) & (F.col("blob_id") == name)).select("bytes")
+    return repo.contents(repo.blobs().where((F.col("kind") == "chunk") & (F.col("pack_id") == held[0]["pack_id"]) & (F.col("blob_id") == name)).select("bytes"))
 
 
 def check(repo: Repository, read_packs: bool = False) -> dict[str, DataFrame | bool]:
@@ -138,10 +138,17 @@ def check(repo: Repository, read_packs: bool = False) -> dict[str, DataFrame | b
         "missing_chunks": _missing_chunks(repo, chosen, manifest),
         "duplicates": dedup.uniqueness_violations(manifest),
     }
-    bad = [out["missing_packs"], out["missing_chunks"], out["duplicates"]]
+    # Names are ids, so what was read must have them.
+    out["bad_snapshots"] = verify.wrong_snapshots(chosen)
+    out["bad_indexes"] = verify.wrong_indexes(repo.entries(), repo.supersedes())
+    out["bad_packs"] = verify.wrong_packs(manifest)
+    bad = [out[k] for k in ("missing_packs", "missing_chunks", "duplicates", "bad_snapshots", "bad_indexes", "bad_packs")]
     if read_packs:
         blobs = repo.blobs()
-        out["corrupt"] = verify.corrupt_blobs(blobs, "bytes", text_ids=True).select("pack_id", "blob_id", "actual_id")
+        read = repo.contents(blobs.select("pack_id", "blob_id", "kind", "bytes"))
+        out["corrupt"] = verify.corrupt_blobs(read, "bytes", text_ids=True).select("pack_id", "blob_id", "actual_id")
+        out["bad_trees"] = verify.wrong_trees(read.where("kind = 'tree'"), repo.trees())
+        bad.append(out["bad_trees"])
         own = blobs.select("pack_id", "seq", F.col("kind").alias("blob_type"), "length", "blob_id")
         indexed = manifest.select("pack_id", "seq", "blob_type", "length", "blob_id")
         out["mismatched"] = verify.manifest_mismatches(own.join(indexed.select("pack_id").distinct(), "pack_id", "left_semi"), indexed)
@@ -185,18 +192,22 @@ def dump(repo: Repository, selector: str, path: str = "") -> DataFrame:
         return trees.listing(repo.trees(), row["subtree"] if row else chosen["tree_id"]).select("line")
     if row["kind"] == "symlink":
         return repo.spark.createDataFrame([(f"{path} -> {row['target']}",)], "line string")
-    return _contents(repo, repo.spark.createDataFrame([(path, row["chunks"])], "path string, chunks array<string>")).select("content")
+    chunks = _chunks(repo, repo.spark.createDataFrame([(path, row["chunks"])], "path string, chunks array<string>"))
+    return chunks.orderBy("seq").select(F.col("bytes").alias("content"))
 
 
-def _contents(repo: Repository, files: DataFrame) -> DataFrame:
-    """(path, content) of files (path, chunks); empty files included."""
+def _chunks(repo: Repository, files: DataFrame) -> DataFrame:
+    """(path, seq, offset, bytes) of the chunks of files (path, chunks); a file is never put together in one cell."""
     wanted = files.select("path", F.posexplode("chunks").alias("seq", "blob_id"))
-    held = repo.blobs().where("kind = 'chunk'").select("blob_id", "bytes").dropDuplicates(["blob_id"])
-    lost = wanted.join(held.select("blob_id"), "blob_id", "left_anti")
-    if not lost.isEmpty():
-        raise RepositoryError(f"chunk {lost.first()['blob_id']} is missing")
-    built = restore.reassemble_bytes(wanted.join(held, "blob_id"), "path")
-    return files.select("path").join(built, "path", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
+    places = dedup.blob_map(repo.manifest().where("blob_type = 'chunk'"), "length").select("blob_id", "pack_id", "length")
+    found = materialize(wanted.join(places, "blob_id", "left"), "places")
+    lost = found.where("pack_id is null").take(1)
+    if lost:
+        raise RepositoryError(f"chunk {lost[0]['blob_id']} is missing")
+    before = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # ids and lengths of one file
+    placed = found.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    held = repo.contents(repo.blobs().where("kind = 'chunk'").join(found.select("blob_id", "pack_id").distinct(), ["blob_id", "pack_id"], "left_semi").select("blob_id", "pack_id", "bytes"))
+    return placed.join(held, ["blob_id", "pack_id"]).select("path", "seq", "offset", "bytes")
 
 
 def _filtered(repo: Repository, chosen: DataFrame, skips: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -239,7 +250,7 @@ def copy(repo: Repository, to: Repository, selectors: list[str] | None = None, s
     kept, rows, blobs, roots = _filtered(repo, chosen, list(skips))
     held = to.manifest().select("blob_id")
     chunks = kept.where("kind = 'file'").select(F.explode("chunks").alias("blob_id")).distinct().join(held, "blob_id", "left_anti")
-    source = repo.blobs().where("kind = 'chunk'").join(chunks, "blob_id", "left_semi").dropDuplicates(["blob_id"]).select("blob_id", "length", "bytes")
+    source = repo.contents(repo.blobs().where("kind = 'chunk'").join(chunks, "blob_id", "left_semi").dropDuplicates(["blob_id"]).select("blob_id", "length", "bytes"))
     new_trees = dedup.new_blobs(blobs, held)
     plan = materialize(source.select("blob_id", F.lit("chunk").alias("blob_type"), "length").unionByName(new_trees.select("blob_id", F.lit("tree").alias("blob_type"), "length")), "copy")
     if not dry_run:
@@ -291,14 +302,14 @@ def prune(repo: Repository, dry_run: bool = False) -> dict[str, int]:
     made = manifest.join(reusable, "pack_id", "left_semi")
     for kind in ("chunk", "tree"):
         blobs = repo.blobs().where(F.col("kind") == kind).join(moved, "blob_id", "left_semi").dropDuplicates(["blob_id"])
-        own = repo.write_packs(blobs, kind)
+        own = repo.write_packs(blobs, kind, stored=True)
         if kind == "tree":
             repo.write_trees(materialize(repo.trees(), "trees"), own)
         made = made.unionByName(own)
     repo.write_index(materialize(made, "new-index"), old)
-    gone = manifest.select("pack_id", "blob_type").distinct().join(reusable, "pack_id", "left_anti").collect()  # one row per pack
+    gone = materialize(manifest.select("pack_id", F.col("blob_type").alias("kind")).distinct().join(reusable, "pack_id", "left_anti"), "gone")
     repo.remove_indexes(old)
-    repo.remove_packs((r["blob_type"], r["pack_id"]) for r in gone)
+    repo.remove_packs(gone)
     return out
 
 
@@ -321,8 +332,7 @@ def resume(repo: Repository, dry_run: bool = False) -> DataFrame:
     manifest, blobs = repo.manifest(), repo.blobs()
     left = packs.missing(repo.pack_names(), manifest, "pack_id")
     entries = blobs.join(left, "pack_id", "left_semi").select("pack_id", "seq", F.col("kind").alias("blob_type"), "length", "blob_id")
-    written = repo.spark.createDataFrame([(n.split("=", 1)[1],) for n in objects.child_names(repo.spark, f"{repo.root}/trees") if "=" in n], "pack_id string")
-    half = packs.missing(entries.where("blob_type = 'tree'"), written, "pack_id")
+    half = packs.missing(entries.where("blob_type = 'tree'"), repo.tree_pack_names(), "pack_id")
     again = entries.join(manifest.select("blob_id"), "blob_id", "left_semi").select("pack_id")
     whole = materialize(entries.join(half.union(again).distinct(), "pack_id", "left_anti"), "resume")
     if not dry_run:
@@ -356,24 +366,22 @@ def restore_snapshot(repo: Repository, selector: str, output: str | None = None,
 
 
 def _carry_out(repo: Repository, actions: DataFrame, new: DataFrame, times: bool, permissions: bool) -> None:
-    """Removals, then contents, then metadata; each step runs on all executors."""
-    meta = new.select("parts", "meta", "chunks")
-    full = actions.join(meta, "parts", "left")
-    files = full.where("code in ('+', 'C') and kind = 'file'")
-    contents = _contents(repo, files.select(F.col("place").alias("path"), "chunks")).withColumnRenamed("path", "place")
-    full = full.join(contents, "place", "left").withColumn("parts", F.split("place", "/")).select("parts", "code", "kind", "target", "content", "meta")
-    off, on = (full.withColumn("set_times", F.lit(t)).withColumn("set_mode", F.lit(m)) for t, m in ((False, False), (times, permissions)))
-
-    def run(rows) -> None:
-        list(restore.apply_plan((r.asDict(recursive=True) for r in rows), "/"))
-
-    off.where("code = '-'").foreachPartition(run)
-    off.where("code <> '-'").foreachPartition(run)
+    """Removals, then files in pieces, then metadata; each step runs on all executors."""
+    full = actions.join(new.select("parts", "chunks"), "parts", "left")
+    files = full.where("code in ('+', 'C') and kind = 'file'").select(F.col("place").alias("path"), "chunks")
+    pieces = _chunks(repo, files).select(F.col("path").alias("place"), "offset", "bytes")
+    actions.where("code = '-'").select("place", F.size("parts").alias("depth")).foreachPartition(restore.remove)
+    full.where("code in ('+', 'C')").select("place", "kind", "target").foreachPartition(restore.create)
+    pieces.foreachPartition(restore.write_pieces)
+    files.select("path").foreachPartition(restore.finish)
     if times or permissions:
-        wanted = new.select(F.col("parts").alias("__p"), "kind", "meta")
-        places = actions.select("parts", "place").where("code <> '-'").join(wanted, F.col("parts") == F.col("__p"))
-        last = places.select(F.split("place", "/").alias("parts"), F.lit("set").alias("code"), "kind", F.lit(None).cast("string").alias("target"), F.lit(None).cast("binary").alias("content"), "meta", F.lit(times).alias("set_times"), F.lit(permissions).alias("set_mode"))
-        last.repartition(1).foreachPartition(run)  # children before their directories
+        wanted = new.select(F.col("parts").alias("__p"), F.col("kind").alias("__kind"), "meta")
+        places = actions.where("code <> '-'").join(wanted, F.col("parts") == F.col("__p"))
+        places = materialize(places.select("place", F.col("__kind").alias("kind"), F.size("parts").alias("depth"), "meta"), "metadata")
+        settle = restore.setter(times, permissions)
+        places.where("kind <> 'directory'").foreachPartition(settle)
+        for r in places.where("kind = 'directory'").groupBy("depth").count().orderBy(F.desc("depth")).collect():  # children first
+            places.where((F.col("kind") == "directory") & (F.col("depth") == r["depth"])).foreachPartition(settle)
 
 
 def list_snapshots(repo: Repository, selectors: list[str] | None = None, reverse: bool = False) -> DataFrame:

@@ -13,6 +13,8 @@ import os
 import re
 import stat
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,19 +112,38 @@ def totals(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count_if(F.col("kind") == "file").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("kind").isNull()).alias("special"))
 
 
-def chunk_files(entries: DataFrame, minimum: int = MINIMUM, target: int = TARGET, maximum: int = MAXIMUM) -> DataFrame:
-    """Read files where they lie and cut them: (path, seq, offset, length, blob_id, bytes)."""
+#: Bytes of a file that are read at a time.
+WINDOW = 32 << 20
+
+
+def chunks_of(stream: BinaryIO, minimum: int, target: int, maximum: int, window: int = WINDOW) -> Iterator[list[bytes]]:
+    """The chunks of a stream, some at a time. Those of a window are final but for the last, whose end may be the
+    window's; it goes before the next window. As a chunk's end depends on its own bytes alone, windows don't show."""
+    rest = b""
+    while more := stream.read(max(window, maximum)):
+        data = rest + more
+        ends = cuts(data, minimum, target, maximum)
+        begins = [0, *ends]
+        yield [data[a:b] for a, b in zip(begins, ends[:-1], strict=False)]
+        rest = data[begins[-2] :]
+    if rest:
+        yield [rest[a:b] for ends in [cuts(rest, minimum, target, maximum)] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_files(entries: DataFrame, minimum: int = MINIMUM, target: int = TARGET, maximum: int = MAXIMUM, window: int = WINDOW) -> DataFrame:
+    """Read files where they lie, in windows, and cut them: (path, seq, offset, length, blob_id, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for path, full in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seq, at = 0, 0
                 with open(full, "rb") as f:
-                    data = f.read()
-                ends = cuts(data, minimum, target, maximum)
-                begins = [0, *ends][: len(ends)]
-                parts = [data[a:b] for a, b in zip(begins, ends, strict=True)]
-                columns = ([path] * len(ends), list(range(len(ends))), begins, [len(p) for p in parts], [object_id(p) for p in parts], parts)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "seq", "offset", "length", "blob_id", "bytes"])
+                    for parts in chunks_of(f, minimum, target, maximum, window):
+                        n = [len(p) for p in parts]
+                        begins = [at, *(at + x for x in accumulate(n))][: len(n)]
+                        columns = ([path] * len(n), list(range(seq, seq + len(n))), begins, n, [object_id(p) for p in parts], parts)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "seq", "offset", "length", "blob_id", "bytes"])
+                        seq, at = seq + len(n), at + sum(n)
 
     return entries.where("kind = 'file'").select("path", "full_path").mapInArrow(run, "path string, seq int, offset long, length long, blob_id string, bytes binary")

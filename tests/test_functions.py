@@ -153,3 +153,39 @@ def test_chunks_put_together_again(spark):
         own = sorted((r for r in out if r["k"] == k), key=lambda r: r["seq"])
         assert b"".join(bytes(r["bytes"]) for r in own) == bytes(content or b"")
         assert all(r["blob_id"] == cbor.object_id(bytes(r["bytes"])) and r["length"] == len(r["bytes"]) for r in own)
+
+
+def test_cbor_decodes_what_it_encodes():
+    rng = random.Random(2)
+
+    def value(depth=0):
+        kind = rng.randrange(7 if depth < 3 else 5)
+        if kind == 0:
+            return rng.choice([None, True, False])
+        if kind == 1:
+            return rng.choice([0, 23, 24, 255, 256, 65536, 2**32, -1, -24, -25, -(2**40)])
+        if kind == 2:
+            return rng.randbytes(rng.choice([0, 5, 30, 300]))
+        if kind in (3, 4):
+            return "é" * rng.choice([0, 3, 30, 300])
+        if kind == 5:
+            return [value(depth + 1) for _ in range(rng.randrange(30))]
+        return {str(i): value(depth + 1) for i in range(rng.randrange(30))}
+
+    for _ in range(300):
+        x = value()
+        assert cbor.decode(cbor.encode(x)) == x
+    data = cbor.encode({"a": [1, "x"]})
+    for i in range(len(data)):
+        with pytest.raises(ValueError, match="."):
+            cbor.decode(data[:i])
+    some = [cbor.object_id(bytes([i])) for i in range(3)]
+    meta = {"meta_type": "posix", "mode": 0o644, "size": 7, "uid": 1, "gid": 2, "atime_ns": 3, "mtime_ns": -4, "attributes": None, "creation_ns": None}
+    entries = [{"name": "a", "kind": "file", "chunks": some[:2], "subtree": None, "target": None, "meta": meta}]
+    entries.append({"name": "b", "kind": "directory", "chunks": None, "subtree": some[2], "target": None, "meta": meta | {"size": None}})
+    entries.append({"name": "c", "kind": "symlink", "chunks": None, "subtree": None, "target": "a", "meta": meta | {"size": None}})
+    assert cbor.tree_entries(cbor.tree_bytes(entries)) == entries
+    two = cbor.snapshot_of(cbor.snapshot_bytes(5, "UTC", "me", ["x"], ["/p"], some[0]))
+    assert two == {"author": "me", "tags": ["x"], "paths": ["/p"], "tree_id": some[0], "time_ns": 5, "tz": "UTC"}
+    one = cbor.snapshot_of(cbor.snapshot_v1_bytes("2024-01-01T00:00:00Z", "me", [], ["/p"], some[0]))
+    assert one == {"author": "me", "tags": [], "paths": ["/p"], "tree_id": some[0], "time": "2024-01-01T00:00:00Z"}
