@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import cbor, ids
+from .trees import TREE
 
 
 def corrupt_blobs(blobs: DataFrame, content: str, blob: str = "blob_id", bits: int = 224, text_ids: bool = False) -> DataFrame:
@@ -86,11 +87,10 @@ def wrong_indexes(entries: DataFrame, supersedes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "index_id string, actual_id string").where("index_id <> actual_id")
 
 
-def wrong_trees(blobs: DataFrame, trees: DataFrame) -> DataFrame:
-    """Entries of which the rows of trees and the trees decoded from their blobs (blob_id, bytes) differ: tree_id, name.
-    Blobs that can't be decoded have the name null."""
-    named = T.StructType([f for f in trees.schema.fields if f.name in ("tree_id", "name", "kind", "chunks", "subtree", "target", "meta")])
-    fields = [f.name for f in named.fields]
+def decode_trees(blobs: DataFrame) -> DataFrame:
+    """The entries of trees (blob_id, bytes), in the columns of ``TREE``. One that can't be decoded has one of name null."""
+    named = T._parse_datatype_string(TREE)
+    fields = named.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +101,13 @@ def wrong_trees(blobs: DataFrame, trees: DataFrame) -> DataFrame:
                     rows = [{"tree_id": tree, "name": None}]
                 yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in fields} for r in rows], to_arrow_schema(named))
 
-    own = blobs.select("blob_id", "bytes").dropDuplicates(["blob_id"]).mapInArrow(run, named)
+    return blobs.select("blob_id", "bytes").dropDuplicates(["blob_id"]).mapInArrow(run, named)
+
+
+def wrong_trees(blobs: DataFrame, trees: DataFrame) -> DataFrame:
+    """Entries of which the rows of trees and the trees decoded from their blobs (blob_id, bytes) differ: tree_id, name."""
+    own = decode_trees(blobs)
+    fields = own.columns
     a, b = own.alias("a"), trees.select(*fields).alias("b")
     joined = a.join(b, F.expr("a.tree_id = b.tree_id and a.name = b.name"), "full_outer")
     same = F.lit(True)

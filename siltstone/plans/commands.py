@@ -56,6 +56,23 @@ def _visited(repo: Repository, chosen: DataFrame) -> DataFrame:
     return chunks.select("blob_id", F.lit("chunk").alias("kind"), "visits").unionByName(met.select(F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind"), "visits"))
 
 
+def visited(repo: Repository) -> DataFrame:
+    """Blobs and how often all snapshots of a repository visit them: blob_id, kind, visits."""
+    return _visited(repo, repo.snapshots())
+
+
+def snapshot_root(repo: Repository, selector: str) -> str:
+    """The tree of a snapshot."""
+    return snapshots.select(repo.snapshots(), selector).first()["tree_id"]
+
+
+def decoded_trees(repo: Repository) -> DataFrame:
+    """Entries of all indexed trees, decoded from their blobs."""
+    named = repo.manifest().where("blob_type = 'tree'").select("pack_id", "blob_id")
+    blobs = repo.blobs().where("kind = 'tree'").join(named, ["pack_id", "blob_id"], "left_semi").select("blob_id", "bytes")
+    return verify.decode_trees(repo.contents(blobs))
+
+
 def _missing_chunks(repo: Repository, chosen: DataFrame, manifest: DataFrame) -> DataFrame:
     """Blobs that snapshots reach and no pack holds: chunk, snapshots (how many reach it), first_snapshot."""
     lost = materialize(packs.missing(_reached(repo, chosen), manifest, "blob_id"), "lost")
@@ -64,7 +81,8 @@ def _missing_chunks(repo: Repository, chosen: DataFrame, manifest: DataFrame) ->
 
 
 def backup(repo: Repository, roots: list[str], skips: Iterable[str] = (), author: str = "", tags: Iterable[str] = (), follow: bool = False, allow_empty: bool = False, allow_repeat: bool = False, dry_run: bool = False, force_hash: bool = False, time_ns: int | None = None, chunker: tuple[int, int, int] | None = None) -> dict:
-    """Back up file trees. Returns what was done: snapshot (None if none was made), tree and byte counts."""
+    """Back up file trees. Returns what was done: snapshot (None if none was made), tree, counts of files and bytes
+    (read, in new chunks and trees, reused, and as stored after compression), packs and indexes written."""
     spark = repo.spark
     roots = sorted({os.path.realpath(r) if follow else os.path.abspath(r) for r in roots})
     if missing := [r for r in roots if not os.path.lexists(r)]:
@@ -95,8 +113,12 @@ def backup(repo: Repository, roots: list[str], skips: Iterable[str] = (), author
     made = repo.write_packs(fresh, "chunk").unionByName(repo.write_packs(new_trees, "tree"))
     repo.write_trees(rows, made)
     repo.write_index(made)
-    sums = {r["blob_type"]: r["n"] for r in made.groupBy("blob_type").agg(F.sum("length").alias("n")).collect()}
+    new = materialize(made.select("pack_id", "blob_type", "length"), "new-packs")
+    sums = {r["blob_type"]: r["n"] for r in new.groupBy("blob_type").agg(F.sum("length").alias("n")).collect()}
+    named = new.select("pack_id").distinct()
+    stored = repo.pack_sizes().join(named, "pack_id").agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     out |= {"chunk_bytes": sums.get("chunk", 0), "tree_bytes": sums.get("tree", 0)}
+    out |= {"reused_bytes": out["bytes"] - out["chunk_bytes"], "packs": stored[0], "stored_bytes": stored[1], "indexes": int(stored[0] > 0)}
     if root == EMPTY_TREE and not allow_empty:
         return out
     last = snapshots.nth_from_last(past, 0).first()

@@ -13,10 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import ids, kinds, paths, sizes, times
 from ..operators import cache, chunking, dedup, diff, filters, packs, restore, snapshots, trees, verify
 from ..sources.tables import table
-from ..streaming import ingest
+from ..streaming import ingest, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -673,19 +674,42 @@ def restart_filter(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     """A stream's distinct keys, by stateful dedup"""
-    import uuid
-
-    from ..scratch import scratch_dir
-
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = f"{scratch_dir(spark)}/siltstone/stream-{uuid.uuid4().hex}"
+    folder = scratch.folder(spark, "stream")
     distinct = ingest.distinct_stream(stream.select("user_id", "event_type"), ["user_id", "event_type"])
     run = distinct.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(distinct.schema).parquet(f"{folder}/out")
 
 
+@query("SELECT count(*) AS rows, count(DISTINCT user_id) AS users FROM events")
+def stream_progress(spark, sf_dir):
+    """Rows that a stream took in by its own reports, and what it wrote"""
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = scratch.folder(spark, "stream")
+    users = ingest.distinct_stream(stream.select("user_id"), ["user_id"])
+    run = users.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    written = spark.read.schema(users.schema).parquet(f"{folder}/out")
+    return written.agg(F.lit(progress.rows_read(run)).cast("long").alias("rows"), F.count(F.lit(1)).alias("users"))
+
+
+@query("""
+WITH blobs AS (SELECT DISTINCT sha256(text) AS blob_id, CAST(strlen(text) AS BIGINT) AS n FROM documents)
+SELECT 'read' AS name, 'rows' AS measure, count(*) AS value FROM documents UNION ALL SELECT 'read', 'bytes', CAST(sum(strlen(text)) AS BIGINT) FROM documents
+UNION ALL SELECT 'kept', 'rows', count(*) FROM blobs UNION ALL SELECT 'kept', 'bytes', CAST(sum(n) AS BIGINT) FROM blobs
+""")
+def run_counters(spark, sf_dir):
+    """What a dedup run read and kept, counted as it runs"""
+    counters = progress.Counters()
+    size = F.sum("length")
+    read = counters.watch(content_hash(spark, sf_dir), "read", bytes=size)
+    kept = counters.watch(read.dropDuplicates(["blob_id"]).select("blob_id", "length"), "kept", bytes=size)
+    scratch.free(scratch.materialize(kept, "counted"))
+    return counters.table(spark)
+
+
 # -- functions on text, sizes and times
 
 

@@ -56,14 +56,20 @@ def _drop_all() -> None:
         _drop(path)
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """The path of a new folder in the shared one, dropped like a table."""
+    path = f"{scratch_dir(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     A lost executor costs only the tasks it ran, since finished tables stay in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
+    path = folder(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

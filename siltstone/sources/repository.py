@@ -161,6 +161,13 @@ class Repository:
         found = objects.list_objects(self.spark, f"{self.root}/packs", pattern="*.parquet")
         return found.select(F.regexp_extract(name, "pack_id=([^/]+)", 1).alias("pack_id"), F.regexp_extract(name, "kind=([^/]+)", 1).alias("kind")).distinct()
 
+    def pack_sizes(self) -> DataFrame:
+        """Stored bytes of the packs that are there, by listing: (pack_id, bytes)."""
+        if not objects.child_names(self.spark, f"{self.root}/packs"):
+            return self.spark.createDataFrame([], "pack_id string, bytes long")
+        found = objects.list_objects(self.spark, f"{self.root}/packs", pattern="*.parquet")
+        return found.groupBy(F.regexp_extract("name", "pack_id=([^/]+)", 1).alias("pack_id")).agg(F.sum("bytes").alias("bytes"))
+
     def tree_pack_names(self) -> DataFrame:
         """Packs whose trees' rows are there: (pack_id)."""
         if not objects.child_names(self.spark, f"{self.root}/trees"):

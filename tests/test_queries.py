@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from siltstone.plans import scenarios  # noqa: F401 (registers the commands' queries)
 from siltstone.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
