@@ -77,6 +77,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+OP9_SQL = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM docs)
+), summed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines),
+spans AS ( -- the shortest runs of 8 words from and up to each line
+  SELECT a.doc_id, a.pos AS b, min(z.pos) AS e FROM summed a JOIN summed z ON z.doc_id = a.doc_id AND z.pos >= a.pos AND z.upto - a.upto + a.words >= 8 GROUP BY 1, 2
+  UNION
+  SELECT z.doc_id, max(a.pos), z.pos FROM summed z JOIN summed a ON z.doc_id = a.doc_id AND z.pos >= a.pos AND z.upto - a.upto + a.words >= 8 GROUP BY z.doc_id, z.pos
+), runs AS (SELECT s.doc_id, b, e, array_to_string(parts[b:e], chr(10)) AS run FROM spans s JOIN docs d ON d.doc_id = s.doc_id),
+held AS (SELECT *, min(doc_id) OVER (PARTITION BY run) AS holder FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b, e + 1)) AS pos FROM held WHERE holder < doc_id),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos WHERE g.pos IS NULL GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(x.n, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN lost x ON x.doc_id = d.doc_id
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs
+), sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM sets),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) + any_value(b.n) AS n, count(*) AS c
+  FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
+), links AS (SELECT u, v FROM pairs WHERE 100 * c >= 85 * (n - c)), edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM reach r JOIN edges e ON e.u = r.other),
+least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least_of m ON m.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -89,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL}
+#: For documents of unique ids without scripts that lack spaces, as the given ones are.
+ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_near_duplicates": OP10_SQL}
