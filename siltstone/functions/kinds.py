@@ -18,7 +18,9 @@ def kind_of_mode(mode: Column) -> Column:
 
 def kind_of_attributes(attributes: Column) -> Column:
     bits = attributes.cast("long")
-    return F.when(bits.bitwiseAND(F.lit(_REPARSE).cast("long")) != 0, "symlink").when(bits.bitwiseAND(F.lit(_WINDOWS_DIRECTORY).cast("long")) != 0, "directory").otherwise("file")
+    return F.when(bits.bitwiseAND(F.lit(_REPARSE).cast("long")) != 0, "symlink").when(
+        bits.bitwiseAND(F.lit(_WINDOWS_DIRECTORY).cast("long")) != 0, "directory",
+    ).otherwise("file")
 
 
 #: Fields of the metadata struct, all nullable.

@@ -30,7 +30,9 @@ def line_chunks(files: DataFrame, key: str, content: str, bits: int = 224) -> Da
 def whole_file_chunks(files: DataFrame, key: str, content: str, bits: int = 224) -> DataFrame:
     """One chunk per file, as for files under the minimum size; empty files have none."""
     size = F.octet_length(content).cast("long")
-    return files.where(size > 0).select(key, F.lit(0).alias("seq"), F.lit(0).cast("long").alias("offset"), size.alias("length"), ids.digest(F.col(content), bits).alias("blob_id"))
+    return files.where(size > 0).select(
+        key, F.lit(0).alias("seq"), F.lit(0).cast("long").alias("offset"), size.alias("length"), ids.digest(F.col(content), bits).alias("blob_id"),
+    )
 
 
 def gear() -> np.ndarray:
@@ -96,7 +98,10 @@ def content_chunks(files: DataFrame, key: str, content: str, minimum: int = MINI
                 name = batch.column(0).take(pa.array([i] * len(ends), pa.int64()))
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 columns = (list(range(len(ends))), begins, [len(p) for p in parts], [object_id(p) for p in parts], parts)
-                yield pa.RecordBatch.from_arrays([name, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[batch.schema.names[0], "seq", "offset", "length", "blob_id", "bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [name, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+                    names=[batch.schema.names[0], "seq", "offset", "length", "blob_id", "bytes"],
+                )
 
     kind = files.schema[key].dataType.simpleString()
     return files.select(key, F.col(content).cast("binary").alias("__content")).mapInArrow(run, f"`{key}` {kind}, {CHUNKS}")

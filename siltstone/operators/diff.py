@@ -39,11 +39,19 @@ def report_order(parts: Column, code: Column, kind: Column) -> list[Column]:
 def report(changes: DataFrame) -> DataFrame:
     """Lines of a comparison whose key is ``parts``."""
     path = F.array_join("parts", "/")
-    text = F.concat(F.col("code"), F.lit(" "), path, F.when(F.col("kind") == "directory", "/").otherwise(""), F.when(F.col("kind") == "symlink", F.concat(F.lit(" -> "), F.col("target"))).otherwise(""))
+    text = F.concat(
+        F.col("code"),
+        F.lit(" "),
+        path,
+        F.when(F.col("kind") == "directory", "/").otherwise(""),
+        F.when(F.col("kind") == "symlink", F.concat(F.lit(" -> "), F.col("target"))).otherwise(""),
+    )
     return changes.orderBy(*report_order(F.col("parts"), F.col("code"), F.col("kind"))).select(text.alias("line"))
 
 
-def consecutive(snapshots: DataFrame, entries: DataFrame, snapshot: str, order: list[str], keys: list[str], metadata: bool = False, contents: str = "chunks") -> DataFrame:
+def consecutive(
+    snapshots: DataFrame, entries: DataFrame, snapshot: str, order: list[str], keys: list[str], metadata: bool = False, contents: str = "chunks",
+) -> DataFrame:
     """Each snapshot against the one before (the first against nothing), selected or not: (snapshot, keys, code ...).
 
     Entries are shifted to the next snapshot's name and all pairs are compared by one join."""

@@ -35,7 +35,13 @@ def changed(kind: Column, mtime: Column, size: Column, old_kind: Column, old_mti
 
 def with_previous(now: DataFrame, before: DataFrame, key: str = "path", force_hash: bool = False) -> DataFrame:
     """Entries of a walk joined to those of the previous snapshot; adds ``changed`` and the old chunks."""
-    old = before.select(F.col(key), F.col("kind").alias("old_kind"), F.col("mtime_ns").alias("old_mtime_ns"), F.col("size").alias("old_size"), F.col("chunks").alias("old_chunks"))
+    old = before.select(
+        F.col(key),
+        F.col("kind").alias("old_kind"),
+        F.col("mtime_ns").alias("old_mtime_ns"),
+        F.col("size").alias("old_size"),
+        F.col("chunks").alias("old_chunks"),
+    )
     joined = now.join(old, key, "left")
     test = changed(F.col("kind"), F.col("mtime_ns"), F.col("size"), F.col("old_kind"), F.col("old_mtime_ns"), F.col("old_size"))
     return joined.withColumn("changed", F.lit(True) if force_hash else test)

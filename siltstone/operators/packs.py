@@ -31,7 +31,12 @@ def classify(manifest: DataFrame, live: DataFrame, pack: str, blob: str, length:
     """
     flag = live.select(blob).distinct().withColumn("__live", F.lit(1))
     marked = manifest.join(flag, blob, "left")
-    out = marked.groupBy(pack).agg(F.count(F.lit(1)).alias("entries"), F.count("__live").alias("live_entries"), F.sum(length).alias("bytes"), F.coalesce(F.sum(F.when(F.col("__live") == 1, F.col(length))), F.lit(0)).alias("live_bytes"))
+    out = marked.groupBy(pack).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.count("__live").alias("live_entries"),
+        F.sum(length).alias("bytes"),
+        F.coalesce(F.sum(F.when(F.col("__live") == 1, F.col(length))), F.lit(0)).alias("live_bytes"),
+    )
     kind = F.when(F.col("live_entries") == F.col("entries"), "reusable").when(F.col("live_entries") == 0, "droppable").otherwise("sparse")
     return out.withColumn("class", kind)
 

@@ -16,7 +16,9 @@ from .diff import compare
 PART = ".part"
 
 
-def plan(filesystem: DataFrame, snapshot: DataFrame, keys: list[str], delete: bool = False, times: bool = False, permissions: bool = False, contents: str = "chunks") -> DataFrame:
+def plan(
+    filesystem: DataFrame, snapshot: DataFrame, keys: list[str], delete: bool = False, times: bool = False, permissions: bool = False, contents: str = "chunks",
+) -> DataFrame:
     """Actions (keys, code, kind, target): the file system is the old side, the snapshot the new one.
 
     Without ``delete`` nothing is removed, save a file or link that something replaces, and no directory

@@ -44,7 +44,9 @@ def unfold(trees: DataFrame, roots: DataFrame, keys: tuple[str, ...] = (), recur
             return out
         if strict and not deeper.where(looped).isEmpty():
             raise CycleError("a directory holds itself")
-        level = deeper.where(~looped).select(*keys, F.col("subtree").alias("tree_id"), F.col("parts").alias("__at"), F.concat("__up", F.array("subtree")).alias("__up"))
+        level = deeper.where(~looped).select(
+            *keys, F.col("subtree").alias("tree_id"), F.col("parts").alias("__at"), F.concat("__up", F.array("subtree")).alias("__up"),
+        )
         if level.isEmpty():
             return out
         depth += 1
@@ -76,7 +78,9 @@ def visits(trees: DataFrame, roots: DataFrame) -> DataFrame:
             most = trees.select("tree_id").distinct().count() if most is None else most
             if depth > most:
                 raise CycleError("a directory holds itself")
-        below = level.join(edges, "tree_id").groupBy(F.col("subtree").alias("tree_id")).agg(F.sum(F.col("visits") * F.col("times")).cast("long").alias("visits"))
+        below = level.join(edges, "tree_id").groupBy(F.col("subtree").alias("tree_id")).agg(
+            F.sum(F.col("visits") * F.col("times")).cast("long").alias("visits")
+        )
         level = materialize(below, "tree-visits")
         out, depth = out.unionByName(level), depth + 1
     return out.groupBy("tree_id").agg(F.sum("visits").alias("visits"))
@@ -112,14 +116,18 @@ def cycles(edges: DataFrame, parent: str = "parent", child: str = "child") -> Da
 
 def listing(trees: DataFrame, tree_id: str) -> DataFrame:
     """One directory: names with ``/`` for directories and ``-> target`` for links, in order of name."""
-    text = F.when(F.col("kind") == "directory", F.concat("name", F.lit("/"))).when(F.col("kind") == "symlink", F.concat("name", F.lit("-> "), "target")).otherwise(F.col("name"))
+    text = F.when(F.col("kind") == "directory", F.concat("name", F.lit("/"))).when(
+        F.col("kind") == "symlink", F.concat("name", F.lit("-> "), "target"),
+    ).otherwise(F.col("name"))
     return trees.where(F.col("tree_id") == tree_id).select("name", text.alias("line")).orderBy("name")
 
 
 def listing_lines(entries: DataFrame) -> DataFrame:
     """Lines of a full listing: a directory before what it holds, by component."""
     path = F.array_join("parts", "/")
-    text = F.when(F.col("kind") == "directory", F.concat(path, F.lit("/"))).when(F.col("kind") == "symlink", F.concat(path, F.lit(" -> "), F.col("target"))).otherwise(path)
+    text = F.when(F.col("kind") == "directory", F.concat(path, F.lit("/"))).when(
+        F.col("kind") == "symlink", F.concat(path, F.lit(" -> "), F.col("target")),
+    ).otherwise(path)
     return entries.select("parts", text.alias("line")).orderBy("parts")
 
 
@@ -158,7 +166,9 @@ def roll_up(nodes: DataFrame, leaf: Column, combine: Callable[[Column], Column],
         if below is None:
             done = here.select(F.col(child).alias("node"), F.col(parent).alias("up"), "depth", leaf.alias("digest"))
         else:
-            pairs = below.where("up is not null").groupBy(F.col("up").alias("node")).agg(combine(F.array_sort(F.collect_list(F.concat_ws("=", "node", "digest")))).alias("__own"))
+            pairs = below.where("up is not null").groupBy(F.col("up").alias("node")).agg(
+                combine(F.array_sort(F.collect_list(F.concat_ws("=", "node", "digest")))).alias("__own")
+            )
             joined = here.select(F.col(child).alias("node"), F.col(parent).alias("up"), "depth", leaf.alias("__leaf")).join(pairs, "node", "left")
             done = joined.select("node", "up", "depth", F.coalesce("__own", "__leaf").alias("digest"))
         below = materialize(done, "roll-up")
@@ -170,7 +180,9 @@ def _hash_directory(table: pa.Table) -> pa.Table:
     rows = table.select(["name", "kind", "chunks", "subtree", "target", "meta"]).to_pylist()
     data = tree_bytes([r for r in rows if r["name"] is not None])
     first = table.slice(0, 1)
-    return pa.table({"snapshot_key": first.column("snapshot_key"), "dir": first.column("dir"), "tree_id": pa.array([object_id(data)]), "bytes": pa.array([data], pa.binary())})
+    return pa.table(
+        {"snapshot_key": first.column("snapshot_key"), "dir": first.column("dir"), "tree_id": pa.array([object_id(data)]), "bytes": pa.array([data], pa.binary())}
+    )
 
 
 def build_trees(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -181,7 +193,10 @@ def build_trees(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     empty tree.
     """
     key = entries.schema["snapshot_key"].dataType.simpleString()
-    flat = materialize(entries.select("snapshot_key", "parts", F.size("parts").alias("depth"), "kind", "chunks", F.lit(None).cast("string").alias("subtree"), "target", "meta"), "entries")
+    flat = materialize(
+        entries.select("snapshot_key", "parts", F.size("parts").alias("depth"), "kind", "chunks", F.lit(None).cast("string").alias("subtree"), "target", "meta"),
+        "entries",
+    )
     top = flat.agg(F.max("depth")).first()[0] or 0
     rows, blobs, ids = None, None, None
     for d in range(top, -1, -1):
@@ -189,11 +204,18 @@ def build_trees(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if ids is not None:
             known = ids.select("snapshot_key", F.col("dir").alias("parts"), F.col("tree_id").alias("__id"))
             here = here.join(known, ["snapshot_key", "parts"], "left").withColumn("subtree", F.when(F.col("kind") == "directory", F.col("__id"))).drop("__id")
-        children = here.select("snapshot_key", F.slice("parts", 1, F.lit(d)).alias("dir"), F.element_at("parts", -1).alias("name"), "kind", "chunks", "subtree", "target", "meta")
+        children = here.select(
+            "snapshot_key", F.slice("parts", 1, F.lit(d)).alias("dir"), F.element_at("parts", -1).alias("name"), "kind", "chunks", "subtree", "target", "meta",
+        )
         # Every directory of this depth has a row of its own, so that empty ones are hashed too.
-        dirs = flat.where((F.col("depth") == d) & (F.col("kind") == "directory")).select("snapshot_key", F.col("parts").alias("dir")) if d else flat.select("snapshot_key").distinct().withColumn("dir", F.array().cast("array<string>"))
+        dirs = flat.where((F.col("depth") == d) & (F.col("kind") == "directory")).select("snapshot_key", F.col("parts").alias("dir")) if d else flat.select("snapshot_key").distinct().withColumn(
+            "dir", F.array().cast("array<string>"),
+        )
         children = materialize(children.unionByName(dirs, allowMissingColumns=True), "children")
-        ids = materialize(children.groupBy("snapshot_key", "dir").applyInArrow(_hash_directory, f"snapshot_key {key}, dir array<string>, tree_id string, bytes binary"), "tree-ids")
+        ids = materialize(
+            children.groupBy("snapshot_key", "dir").applyInArrow(_hash_directory, f"snapshot_key {key}, dir array<string>, tree_id string, bytes binary"),
+            "tree-ids",
+        )
         named = children.where("name is not null").join(ids.select("snapshot_key", "dir", "tree_id"), ["snapshot_key", "dir"])
         level = named.select("tree_id", "name", "kind", "chunks", "subtree", "target", "meta")
         own = ids.select(F.col("tree_id").alias("blob_id"), F.octet_length("bytes").cast("long").alias("length"), "bytes")

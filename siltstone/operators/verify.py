@@ -24,7 +24,12 @@ def verification_totals(blobs: DataFrame, content: str, pack: str, blob: str = "
     """One row: packs and blobs read, and broken ones of each."""
     own = ids.object_id(F.col(content)) if text_ids else ids.digest(F.col(content), bits)
     packs = blobs.groupBy(pack).agg(F.count(F.lit(1)).alias("n"), F.count_if(~own.eqNullSafe(F.col(blob))).alias("bad"))
-    return packs.agg(F.count(F.lit(1)).alias("packs"), F.coalesce(F.sum("n"), F.lit(0)).alias("blobs"), F.count_if(F.col("bad") > 0).alias("broken_packs"), F.coalesce(F.sum("bad"), F.lit(0)).alias("broken_blobs"))
+    return packs.agg(
+        F.count(F.lit(1)).alias("packs"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("blobs"),
+        F.count_if(F.col("bad") > 0).alias("broken_packs"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("broken_blobs"),
+    )
 
 
 def manifest_mismatches(own: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -73,7 +78,9 @@ def wrong_snapshots(snapshots: DataFrame) -> DataFrame:
 def wrong_indexes(entries: DataFrame, supersedes: DataFrame) -> DataFrame:
     """Indexes whose id is not that of their packs and of what they supersede: index_id, actual_id."""
     bucket = F.left("pack_id", F.lit(2)).alias("bucket")
-    digests = entries.select("index_id", "pack_id").distinct().groupBy("index_id", bucket).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pack_id")), ""), 224).alias("digest"))
+    digests = entries.select("index_id", "pack_id").distinct().groupBy("index_id", bucket).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("pack_id")), ""), 224).alias("digest")
+    )
     packs = digests.groupBy("index_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]).alias("packs"))
     gone = supersedes.groupBy("index_id").agg(F.array_sort(F.collect_list("superseded_id")).alias("gone"))
 

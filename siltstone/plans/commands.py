@@ -31,8 +31,12 @@ def _references(repo: Repository, chosen: DataFrame) -> DataFrame:
     """Every visit of a blob by a snapshot: snapshot_id, time_ns, parts, seq, blob_id, kind, length."""
     times = chosen.select("snapshot_id", "time_ns")
     flat = _flat(repo, chosen)
-    roots = chosen.where(F.col("tree_id") != EMPTY_TREE).select("snapshot_id", F.array().cast("array<string>").alias("parts"), F.lit(-1).alias("seq"), F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind"))
-    below = flat.where((F.col("kind") == "directory") & (F.col("subtree") != EMPTY_TREE)).select("snapshot_id", "parts", F.lit(-1).alias("seq"), F.col("subtree").alias("blob_id"), F.lit("tree").alias("kind"))
+    roots = chosen.where(F.col("tree_id") != EMPTY_TREE).select(
+        "snapshot_id", F.array().cast("array<string>").alias("parts"), F.lit(-1).alias("seq"), F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind"),
+    )
+    below = flat.where((F.col("kind") == "directory") & (F.col("subtree") != EMPTY_TREE)).select(
+        "snapshot_id", "parts", F.lit(-1).alias("seq"), F.col("subtree").alias("blob_id"), F.lit("tree").alias("kind"),
+    )
     chunk = flat.where("kind = 'file'").select("snapshot_id", "parts", F.posexplode("chunks").alias("seq", "blob_id"), F.lit("chunk").alias("kind"))
     refs = roots.unionByName(below).unionByName(chunk)
     lengths = dedup.blob_map(repo.manifest(), "length").select("blob_id", "length")
@@ -52,8 +56,12 @@ def _visited(repo: Repository, chosen: DataFrame) -> DataFrame:
     own = materialize(repo.trees(), "trees")
     roots = chosen.where(F.col("tree_id") != EMPTY_TREE).groupBy("tree_id").agg(F.count(F.lit(1)).alias("visits"))
     met = materialize(trees.visits(own, roots).where(F.col("tree_id") != EMPTY_TREE), "visits")
-    chunks = own.where("kind = 'file'").join(met, "tree_id").select(F.explode("chunks").alias("blob_id"), "visits").groupBy("blob_id").agg(F.sum("visits").alias("visits"))
-    return chunks.select("blob_id", F.lit("chunk").alias("kind"), "visits").unionByName(met.select(F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind"), "visits"))
+    chunks = own.where("kind = 'file'").join(met, "tree_id").select(F.explode("chunks").alias("blob_id"), "visits").groupBy("blob_id").agg(
+        F.sum("visits").alias("visits")
+    )
+    return chunks.select("blob_id", F.lit("chunk").alias("kind"), "visits").unionByName(
+        met.select(F.col("tree_id").alias("blob_id"), F.lit("tree").alias("kind"), "visits")
+    )
 
 
 def visited(repo: Repository) -> DataFrame:
@@ -76,11 +84,26 @@ def decoded_trees(repo: Repository) -> DataFrame:
 def _missing_chunks(repo: Repository, chosen: DataFrame, manifest: DataFrame) -> DataFrame:
     """Blobs that snapshots reach and no pack holds: chunk, snapshots (how many reach it), first_snapshot."""
     lost = materialize(packs.missing(_reached(repo, chosen), manifest, "blob_id"), "lost")
-    held = trees.holders(repo.trees(), lost).join(chosen.select("tree_id", "snapshot_id"), "tree_id").select(F.col("blob_id").alias("chunk"), "snapshot_id").distinct()
+    held = trees.holders(repo.trees(), lost).join(chosen.select("tree_id", "snapshot_id"), "tree_id").select(
+        F.col("blob_id").alias("chunk"), "snapshot_id",
+    ).distinct()
     return held.groupBy("chunk").agg(F.count(F.lit(1)).alias("snapshots"), F.min("snapshot_id").alias("first_snapshot"))
 
 
-def backup(repo: Repository, roots: list[str], skips: Iterable[str] = (), author: str = "", tags: Iterable[str] = (), follow: bool = False, allow_empty: bool = False, allow_repeat: bool = False, dry_run: bool = False, force_hash: bool = False, time_ns: int | None = None, chunker: tuple[int, int, int] | None = None) -> dict:
+def backup(
+    repo: Repository,
+    roots: list[str],
+    skips: Iterable[str] = (),
+    author: str = "",
+    tags: Iterable[str] = (),
+    follow: bool = False,
+    allow_empty: bool = False,
+    allow_repeat: bool = False,
+    dry_run: bool = False,
+    force_hash: bool = False,
+    time_ns: int | None = None,
+    chunker: tuple[int, int, int] | None = None,
+) -> dict:
     """Back up file trees. Returns what was done: snapshot (None if none was made), tree, counts of files and bytes
     (read, in new chunks and trees, reused, and as stored after compression), packs and indexes written."""
     spark = repo.spark
@@ -93,7 +116,9 @@ def backup(repo: Repository, roots: list[str], skips: Iterable[str] = (), author
     totals = filesystem.totals(found).first()
     entries = filters.ordinary(found)
     past = repo.snapshots()
-    before = _flat(repo, snapshots.parent(past, roots)).select("path", "kind", F.col("meta.mtime_ns").alias("mtime_ns"), F.col("meta.size").alias("size"), "chunks")
+    before = _flat(repo, snapshots.parent(past, roots)).select(
+        "path", "kind", F.col("meta.mtime_ns").alias("mtime_ns"), F.col("meta.size").alias("size"), "chunks",
+    )
     marked = materialize(filters.with_previous(entries, before, force_hash=force_hash), "marked")
     cut = materialize(filesystem.chunk_files(marked.where("kind = 'file' and changed"), *(chunker or ())), "chunks")
     stored = repo.manifest().select("blob_id")
@@ -137,9 +162,13 @@ def cat(repo: Repository, kind: str, name: str) -> DataFrame:
     if kind == "snapshot":
         return snapshots.select(repo.snapshots(), name).select(F.to_json(F.struct("*")).alias("json"))
     if kind == "index":
-        return repo.entries().where(F.col("index_id") == name).orderBy("pack_id", "seq").select(F.to_json(F.struct("pack_id", "blob_type", "length", "blob_id")).alias("json"))
+        return repo.entries().where(F.col("index_id") == name).orderBy("pack_id", "seq").select(
+            F.to_json(F.struct("pack_id", "blob_type", "length", "blob_id")).alias("json")
+        )
     if kind == "pack":
-        return repo.blobs().where(F.col("pack_id") == name).orderBy("seq").select(F.to_json(F.struct(F.col("kind").alias("type"), "length", F.col("blob_id").alias("id"))).alias("json"))
+        return repo.blobs().where(F.col("pack_id") == name).orderBy("seq").select(
+            F.to_json(F.struct(F.col("kind").alias("type"), "length", F.col("blob_id").alias("id"))).alias("json")
+        )
     if kind != "blob":
         raise ValueError(f"no such kind: {kind}")
     held = repo.manifest().where(F.col("blob_id") == name).take(1)
@@ -201,7 +230,9 @@ def _scan_like(repo: Repository, roots: list[str], old: DataFrame) -> DataFrame:
     if not roots:
         return old.limit(0).select("path", "parts", "kind", "chunks", "target", "meta")
     marked = materialize(filters.with_previous(filters.ordinary(filesystem.scan(repo.spark, roots)), before), "marked")
-    cut = filesystem.chunk_files(marked.where("kind = 'file' and changed")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "blob_id"))), lambda x: x["blob_id"]).alias("new_chunks"))
+    cut = filesystem.chunk_files(marked.where("kind = 'file' and changed")).groupBy("path").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "blob_id"))), lambda x: x["blob_id"]).alias("new_chunks")
+    )
     chunks = F.when(F.col("kind") == "file", F.when(F.col("changed"), F.coalesce("new_chunks", F.array().cast("array<string>"))).otherwise(F.col("old_chunks")))
     return marked.join(cut, "path", "left").select("path", "parts", "kind", chunks.alias("chunks"), "target", "meta")
 
@@ -228,7 +259,9 @@ def _chunks(repo: Repository, files: DataFrame) -> DataFrame:
         raise RepositoryError(f"chunk {lost[0]['blob_id']} is missing")
     before = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # ids and lengths of one file
     placed = found.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    held = repo.contents(repo.blobs().where("kind = 'chunk'").join(found.select("blob_id", "pack_id").distinct(), ["blob_id", "pack_id"], "left_semi").select("blob_id", "pack_id", "bytes"))
+    held = repo.contents(
+        repo.blobs().where("kind = 'chunk'").join(found.select("blob_id", "pack_id").distinct(), ["blob_id", "pack_id"], "left_semi").select("blob_id", "pack_id", "bytes")
+    )
     return placed.join(held, ["blob_id", "pack_id"]).select("path", "seq", "offset", "bytes")
 
 
@@ -241,7 +274,16 @@ def _filtered(repo: Repository, chosen: DataFrame, skips: list[str]) -> tuple[Da
     return kept, rows, blobs, roots.select("snapshot_id", "old_tree", F.coalesce("tree_id", F.lit(EMPTY_TREE)).alias("tree_id"))
 
 
-def filter_snapshot(repo: Repository, selector: str, skips: list[str], keep_metadata: bool = False, author: str | None = None, tags: Iterable[str] = (), dry_run: bool = False, time_ns: int | None = None) -> str | None:
+def filter_snapshot(
+    repo: Repository,
+    selector: str,
+    skips: list[str],
+    keep_metadata: bool = False,
+    author: str | None = None,
+    tags: Iterable[str] = (),
+    dry_run: bool = False,
+    time_ns: int | None = None,
+) -> str | None:
     """A snapshot without what is skipped; None if that changes nothing."""
     if not skips:
         raise ValueError("give something to skip")
@@ -272,9 +314,16 @@ def copy(repo: Repository, to: Repository, selectors: list[str] | None = None, s
     kept, rows, blobs, roots = _filtered(repo, chosen, list(skips))
     held = to.manifest().select("blob_id")
     chunks = kept.where("kind = 'file'").select(F.explode("chunks").alias("blob_id")).distinct().join(held, "blob_id", "left_anti")
-    source = repo.contents(repo.blobs().where("kind = 'chunk'").join(chunks, "blob_id", "left_semi").dropDuplicates(["blob_id"]).select("blob_id", "length", "bytes"))
+    source = repo.contents(
+        repo.blobs().where("kind = 'chunk'").join(chunks, "blob_id", "left_semi").dropDuplicates(["blob_id"]).select("blob_id", "length", "bytes")
+    )
     new_trees = dedup.new_blobs(blobs, held)
-    plan = materialize(source.select("blob_id", F.lit("chunk").alias("blob_type"), "length").unionByName(new_trees.select("blob_id", F.lit("tree").alias("blob_type"), "length")), "copy")
+    plan = materialize(
+        source.select("blob_id", F.lit("chunk").alias("blob_type"), "length").unionByName(
+            new_trees.select("blob_id", F.lit("tree").alias("blob_type"), "length")
+        ),
+        "copy",
+    )
     if not dry_run:
         made = to.write_packs(source, "chunk").unionByName(to.write_packs(new_trees, "tree"))
         to.write_trees(rows, made)
@@ -362,7 +411,9 @@ def resume(repo: Repository, dry_run: bool = False) -> DataFrame:
     return whole.select("pack_id").distinct()
 
 
-def restore_snapshot(repo: Repository, selector: str, output: str | None = None, delete: bool = False, times: bool = False, permissions: bool = False, dry_run: bool = False) -> DataFrame:
+def restore_snapshot(
+    repo: Repository, selector: str, output: str | None = None, delete: bool = False, times: bool = False, permissions: bool = False, dry_run: bool = False,
+) -> DataFrame:
     """Bring the file system to a snapshot; returns the actions (parts, code, kind, target, place).
 
     A snapshot of one root maps onto ``output``, one of several under it; without ``output`` each root goes to where it was."""
@@ -423,7 +474,10 @@ def snapshot_sizes(repo: Repository, selectors: list[str] | None = None, by_file
     order = [F.col("time_ns"), F.col("snapshot_id"), F.col("parts"), F.col("seq")]
     sizes = dedup.introduced(refs, "blob_id", "length", order, keys)
     if not by_file:
-        kinds = refs.groupBy("snapshot_id").agg(F.coalesce(F.sum(F.when(F.col("kind") == "tree", F.col("length"))), F.lit(0)).alias("tree_bytes"), F.coalesce(F.sum(F.when(F.col("kind") == "chunk", F.col("length"))), F.lit(0)).alias("chunk_bytes"))
+        kinds = refs.groupBy("snapshot_id").agg(
+            F.coalesce(F.sum(F.when(F.col("kind") == "tree", F.col("length"))), F.lit(0)).alias("tree_bytes"),
+            F.coalesce(F.sum(F.when(F.col("kind") == "chunk", F.col("length"))), F.lit(0)).alias("chunk_bytes"),
+        )
         sizes = sizes.join(kinds, "snapshot_id")
     return sizes.join(snapshots.select_all(every, selectors).select("snapshot_id"), "snapshot_id", "left_semi") if selectors else sizes
 
@@ -446,4 +500,6 @@ def usage(repo: Repository) -> DataFrame:
     packed = manifest.agg(F.count_distinct("pack_id").alias("packs"), F.coalesce(F.sum("length"), F.lit(0)).alias("packed_bytes"))
     stored = objects.totals_by_prefix(repo.objects()).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("stored_bytes"))
     row = heads.crossJoin(sizes).crossJoin(packed).crossJoin(stored)  # one row each
-    return row.withColumn("indexes", F.lit(len(repo.index_names()))).withColumn("unused_bytes", F.col("packed_bytes") - F.col("unique_bytes")).withColumn("stored", human_size(F.col("stored_bytes")))
+    return row.withColumn("indexes", F.lit(len(repo.index_names()))).withColumn("unused_bytes", F.col("packed_bytes") - F.col("unique_bytes")).withColumn(
+        "stored", human_size(F.col("stored_bytes")),
+    )

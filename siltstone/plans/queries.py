@@ -59,7 +59,13 @@ def _path() -> Column:
 
 def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    return files.select("snap", "path", paths.parts(F.col("path")).alias("parts"), ids.digest(F.col("body"), 256).alias("blob_id"), F.octet_length("body").cast("long").alias("length"))
+    return files.select(
+        "snap",
+        "path",
+        paths.parts(F.col("path")).alias("parts"),
+        ids.digest(F.col("body"), 256).alias("blob_id"),
+        F.octet_length("body").cast("long").alias("length"),
+    )
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +88,9 @@ def _moment(c: str = "ts") -> Column:
 @query("SELECT doc_id, sha256(text) AS blob_id, CAST(strlen(text) AS BIGINT) AS length FROM documents")
 def content_hash(spark, sf_dir):
     """X1"""
-    return table(spark, sf_dir, "documents").select("doc_id", ids.digest(F.col("text"), 256).alias("blob_id"), F.octet_length("text").cast("long").alias("length"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", ids.digest(F.col("text"), 256).alias("blob_id"), F.octet_length("text").cast("long").alias("length"),
+    )
 
 
 @query()
@@ -153,7 +161,9 @@ FROM (SELECT lang, strlen(text) AS n, row_number() OVER (PARTITION BY sha256(tex
 """)
 def dedup_ratio_by_lang(spark, sf_dir):
     """Bytes introduced and reused"""
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", ids.digest(F.col("text"), 256).alias("blob_id"), F.octet_length("text").cast("long").alias("length"))
+    docs = table(spark, sf_dir, "documents").select(
+        "lang", "doc_id", ids.digest(F.col("text"), 256).alias("blob_id"), F.octet_length("text").cast("long").alias("length"),
+    )
     return dedup.introduced(docs, "blob_id", "length", [F.col("doc_id")], ["lang"])
 
 
@@ -185,7 +195,13 @@ def file_sizes(spark, sf_dir):
 
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    files = _refs(spark, sf_dir).select("snap", "path", F.when(F.col("length") % 7 == 0, "symlink").otherwise("file").alias("kind"), F.col("blob_id").alias("chunks"), F.when(F.col("length") % 7 == 0, F.col("length").cast("string")).alias("target"))
+    files = _refs(spark, sf_dir).select(
+        "snap",
+        "path",
+        F.when(F.col("length") % 7 == 0, "symlink").otherwise("file").alias("kind"),
+        F.col("blob_id").alias("chunks"),
+        F.when(F.col("length") % 7 == 0, F.col("length").cast("string")).alias("target"),
+    )
     return files.where("snap = 1").drop("snap"), files.where("snap = 2").drop("snap")
 
 
@@ -216,7 +232,9 @@ SELECT snap, code, count(*) AS entries FROM (
 """)
 def snapshot_stat(spark, sf_dir):
     """Each snapshot against the one before"""
-    entries = _refs(spark, sf_dir).select("snap", "path", F.lit("file").alias("kind"), F.col("blob_id").alias("chunks"), F.lit(None).cast("string").alias("target"))
+    entries = _refs(spark, sf_dir).select(
+        "snap", "path", F.lit("file").alias("kind"), F.col("blob_id").alias("chunks"), F.lit(None).cast("string").alias("target"),
+    )
     return diff.counts(diff.consecutive(entries.select("snap").distinct(), entries, "snap", ["snap"], ["path"]), "snap")
 
 
@@ -240,8 +258,21 @@ FROM meta m JOIN changed c USING (o_orderkey)
 def metadata_diff_code(spark, sf_dir):
     """Codes of metadata changes, nulls as values"""
     k = F.col("o_orderkey")
-    own = {"uid": F.col("o_custkey"), "gid": k % 13, "mode": F.when(F.col("o_orderpriority").startswith("1"), 420).otherwise(493), "mtime_ns": _moment("o_orderdate"), "atime_ns": k % 3, "size": F.when(k % 4 == 0, None).otherwise(F.floor("o_totalprice"))}
-    new = own | {"uid": F.when(k % 5 == 0, own["uid"] + 1).otherwise(own["uid"]), "mode": F.when(k % 7 == 0, 511).otherwise(own["mode"]), "mtime_ns": F.when(k % 11 == 0, own["mtime_ns"] + 1).otherwise(own["mtime_ns"]), "atime_ns": F.when(k % 17 == 0, 9).otherwise(own["atime_ns"]), "size": F.when(k % 6 == 0, None).otherwise(own["size"])}
+    own = {
+        "uid": F.col("o_custkey"),
+        "gid": k % 13,
+        "mode": F.when(F.col("o_orderpriority").startswith("1"), 420).otherwise(493),
+        "mtime_ns": _moment("o_orderdate"),
+        "atime_ns": k % 3,
+        "size": F.when(k % 4 == 0, None).otherwise(F.floor("o_totalprice")),
+    }
+    new = own | {
+        "uid": F.when(k % 5 == 0, own["uid"] + 1).otherwise(own["uid"]),
+        "mode": F.when(k % 7 == 0, 511).otherwise(own["mode"]),
+        "mtime_ns": F.when(k % 11 == 0, own["mtime_ns"] + 1).otherwise(own["mtime_ns"]),
+        "atime_ns": F.when(k % 17 == 0, 9).otherwise(own["atime_ns"]),
+        "size": F.when(k % 6 == 0, None).otherwise(own["size"]),
+    }
 
     def meta(fields: dict[str, Column], windows: Column) -> Column:
         named = [fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split() for f in kinds.META.split(", ")[1:])]
@@ -258,7 +289,9 @@ SELECT doc_id, CASE WHEN (doc_id * 4099 + 4096) % 65536 // 4096 = 10 THEN 'symli
 """)
 def kind_of_mode(spark, sf_dir):
     """Kinds from type bits"""
-    return table(spark, sf_dir, "documents").select("doc_id", kinds.kind_of_mode((F.col("doc_id") * 4099 + 4096) % 65536).alias("kind"), kinds.kind_of_attributes(F.col("doc_id")).alias("windows_kind"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", kinds.kind_of_mode((F.col("doc_id") * 4099 + 4096) % 65536).alias("kind"), kinds.kind_of_attributes(F.col("doc_id")).alias("windows_kind"),
+    )
 
 
 # -- hierarchies
@@ -275,7 +308,9 @@ nodes AS (
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def level(name: str, letter: str, key: str, upper: str, up: str | None, depth: int, label: Column) -> DataFrame:
         above = F.concat(F.lit(upper), F.col(up).cast("string")) if up else F.lit(None).cast("string")
-        return table(spark, sf_dir, name).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("child"), above.alias("parent"), F.lit(depth).alias("depth"), label.alias("name"))
+        return table(spark, sf_dir, name).select(
+            F.concat(F.lit(letter), F.col(key).cast("string")).alias("child"), above.alias("parent"), F.lit(depth).alias("depth"), label.alias("name"),
+        )
 
     out = level("region", "r", "r_regionkey", "", None, 0, F.col("r_name"))
     out = out.unionByName(level("nation", "n", "n_nationkey", "r", "n_regionkey", 1, F.col("n_name")))
@@ -285,7 +320,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_trees(nodes: DataFrame) -> DataFrame:
     directory = F.col("depth") < 3
-    return nodes.where("parent is not null").select(F.col("parent").alias("tree_id"), "name", F.when(directory, "directory").otherwise("file").alias("kind"), F.when(directory, F.col("child")).alias("subtree"))
+    return nodes.where("parent is not null").select(
+        F.col("parent").alias("tree_id"),
+        "name",
+        F.when(directory, "directory").otherwise("file").alias("kind"),
+        F.when(directory, F.col("child")).alias("subtree"),
+    )
 
 
 @query(f"""
@@ -345,7 +385,9 @@ def reachable_blobs(spark, sf_dir):
 @query(f"WITH {_FILES} SELECT sha256(body) AS blob_id, string_agg(DISTINCT CAST(snap AS VARCHAR), ',' ORDER BY CAST(snap AS VARCHAR)) AS snapshots FROM files GROUP BY 1")
 def chunk_to_snapshots(spark, sf_dir):
     """A5"""
-    return packs.users(_refs(spark, sf_dir), "blob_id", "snap").select("blob_id", F.array_join(F.transform("snapshots", lambda s: s.cast("string")), ",").alias("snapshots"))
+    return packs.users(_refs(spark, sf_dir), "blob_id", "snap").select(
+        "blob_id", F.array_join(F.transform("snapshots", lambda s: s.cast("string")), ",").alias("snapshots"),
+    )
 
 
 _CLASSES = """
@@ -434,7 +476,11 @@ def blob_to_pack(spark, sf_dir):
 @query("SELECT doc_id, sha256(text || '?') AS actual_id FROM documents WHERE doc_id % 97 = 3")
 def verify_blobs(spark, sf_dir):
     """planted corruption is found"""
-    stored = table(spark, sf_dir, "documents").select("doc_id", ids.digest(F.col("text"), 256).alias("blob_id"), F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("content"))
+    stored = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        ids.digest(F.col("text"), 256).alias("blob_id"),
+        F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("content"),
+    )
     return verify.corrupt_blobs(stored, "content", bits=256).select("doc_id", "actual_id")
 
 
@@ -444,7 +490,11 @@ FROM (SELECT source, count(*) AS n, count(*) FILTER (WHERE doc_id % 97 = 3) AS b
 """)
 def verification_totals(spark, sf_dir):
     """Packs and blobs read, and broken ones (sources are packs)"""
-    stored = table(spark, sf_dir, "documents").select("source", ids.digest(F.col("text"), 256).alias("blob_id"), F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("content"))
+    stored = table(spark, sf_dir, "documents").select(
+        "source",
+        ids.digest(F.col("text"), 256).alias("blob_id"),
+        F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("content"),
+    )
     return verify.verification_totals(stored, "content", "source", bits=256)
 
 
@@ -460,8 +510,12 @@ def usage_summary(spark, sf_dir):
     """One row (documents are what is packed, sources the packs)"""
     refs = _refs(spark, sf_dir)
     order = [F.col("snap"), F.col("parts")]
-    total = dedup.introduced(refs, "blob_id", "length", order, ["snap"]).agg(F.count(F.lit(1)).alias("snapshots"), F.sum("introduced").alias("unique_bytes"), F.sum("reused").alias("reused_bytes"))
-    docs = table(spark, sf_dir, "documents").select(ids.digest(F.col("text"), 256).alias("blob_id"), F.col("source").alias("pack_id"), F.octet_length("text").cast("long").alias("length"))
+    total = dedup.introduced(refs, "blob_id", "length", order, ["snap"]).agg(
+        F.count(F.lit(1)).alias("snapshots"), F.sum("introduced").alias("unique_bytes"), F.sum("reused").alias("reused_bytes"),
+    )
+    docs = table(spark, sf_dir, "documents").select(
+        ids.digest(F.col("text"), 256).alias("blob_id"), F.col("source").alias("pack_id"), F.octet_length("text").cast("long").alias("length"),
+    )
     held = dedup.blob_map(docs, "length")
     packed = held.agg(F.count_distinct("pack_id").alias("packs"), F.sum("length").alias("packed_bytes"))
     used = held.join(packs.reachable(refs, "blob_id"), "blob_id", "left_semi").agg(F.sum("length").alias("used"))
@@ -476,7 +530,9 @@ def manifest_rows(spark, sf_dir):
     """A pack's entries in order"""
     items = table(spark, sf_dir, "lineitem")
     listed = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    return items.groupBy(F.col("l_orderkey").alias("pack_id")).agg(F.count(F.lit(1)).alias("entries"), F.array_join(F.transform(listed, lambda x: x["l_partkey"].cast("string")), ",").alias("blobs"))
+    return items.groupBy(F.col("l_orderkey").alias("pack_id")).agg(
+        F.count(F.lit(1)).alias("entries"), F.array_join(F.transform(listed, lambda x: x["l_partkey"].cast("string")), ",").alias("blobs"),
+    )
 
 
 @query("""
@@ -496,7 +552,9 @@ def set_differences(spark, sf_dir):
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("snapshot_id"), _moment().alias("time_us"), "user_id", F.col("event_type").alias("tree_id"), F.col("value"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("snapshot_id"), _moment().alias("time_us"), "user_id", F.col("event_type").alias("tree_id"), F.col("value"),
+    )
 
 
 @query("SELECT snapshot_id FROM (SELECT event_id AS snapshot_id, event_type AS t, lag(event_type) OVER (ORDER BY ts, event_id) AS p FROM events) WHERE t = p")
@@ -590,7 +648,14 @@ SELECT b.path, a.path IS NULL OR a.size <> b.size OR a.mtime <> b.mtime AS chang
 """)
 def changed_files(spark, sf_dir):
     """Files to read again"""
-    files = _files(spark, sf_dir).select("snap", "path", F.lit("file").alias("kind"), F.octet_length("body").cast("long").alias("size"), (F.col("snap") * (F.col("doc_id") % 2)).alias("mtime_ns"), F.lit(None).cast("string").alias("chunks"))
+    files = _files(spark, sf_dir).select(
+        "snap",
+        "path",
+        F.lit("file").alias("kind"),
+        F.octet_length("body").cast("long").alias("size"),
+        (F.col("snap") * (F.col("doc_id") % 2)).alias("mtime_ns"),
+        F.lit(None).cast("string").alias("chunks"),
+    )
     return filters.with_previous(files.where("snap = 2"), files.where("snap = 1")).select("path", "changed")
 
 
@@ -637,11 +702,15 @@ FROM j, (VALUES (true), (false)) d(deleting) WHERE (ah IS NULL OR bh IS NULL OR
 """)
 def restore_plan(spark, sf_dir):
     """Actions with and without removal, and where they go"""
-    files = _refs(spark, sf_dir).select("snap", "path", "parts", F.lit("file").alias("kind"), F.col("blob_id").alias("chunks"), F.lit(None).cast("string").alias("target"))
+    files = _refs(spark, sf_dir).select(
+        "snap", "path", "parts", F.lit("file").alias("kind"), F.col("blob_id").alias("chunks"), F.lit(None).cast("string").alias("target"),
+    )
     old, new = files.where("snap = 1").drop("snap"), files.where("snap = 2").drop("snap")
     out = None
     for delete in (True, False):
-        actions = restore.plan(old, new, ["path"], delete).select(F.lit(delete).alias("deleting"), restore.remap(paths.parts(F.col("path")), F.lit("out")).alias("place"), "path", "code")
+        actions = restore.plan(old, new, ["path"], delete).select(
+            F.lit(delete).alias("deleting"), restore.remap(paths.parts(F.col("path")), F.lit("out")).alias("place"), "path", "code",
+        )
         out = actions if out is None else out.unionByName(actions)
     return out
 
@@ -657,7 +726,10 @@ SELECT l_orderkey, '{"type":"chunk","length":' || CAST(l_quantity AS BIGINT) ||
 """)
 def cat_json(spark, sf_dir):
     """Rows as JSON"""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_json(F.struct(F.lit("chunk").alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").alias("id"))).alias("json"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.to_json(F.struct(F.lit("chunk").alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_partkey").alias("id"))).alias("json"),
+    )
 
 
 @query("""
@@ -678,7 +750,9 @@ def stream_dedup(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     folder = scratch.folder(spark, "stream")
     distinct = ingest.distinct_stream(stream.select("user_id", "event_type"), ["user_id", "event_type"])
-    run = distinct.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
+    run = distinct.writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/check",
+    ).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(distinct.schema).parquet(f"{folder}/out")
 
@@ -689,7 +763,9 @@ def stream_progress(spark, sf_dir):
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     folder = scratch.folder(spark, "stream")
     users = ingest.distinct_stream(stream.select("user_id"), ["user_id"])
-    run = users.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
+    run = users.writeStream.format("parquet").option("path", f"{folder}/out").option(
+        "checkpointLocation", f"{folder}/check",
+    ).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     written = spark.read.schema(users.schema).parquet(f"{folder}/out")
     return written.agg(F.lit(progress.rows_read(run)).cast("long").alias("rows"), F.count(F.lit(1)).alias("users"))
@@ -731,7 +807,9 @@ FROM (SELECT *, list_filter(string_split(regexp_replace(url, '^https?://', ''),
 def path_functions(spark, sf_dir):
     """Components of paths"""
     path = F.regexp_replace("url", "^https?://", "")
-    found = [paths.last_component(path).alias("last"), paths.has_trailing_slash(F.col("url")).alias("slash"), F.size(paths.parts(path)).cast("long").alias("depth")]
+    found = [
+        paths.last_component(path).alias("last"), paths.has_trailing_slash(F.col("url")).alias("slash"), F.size(paths.parts(path)).cast("long").alias("depth"),
+    ]
     return table(spark, sf_dir, "pages").select("page_id", *found)
 
 
@@ -745,7 +823,13 @@ def time_text(spark, sf_dir):
     text = times.to_text(ns)
     ticks = F.when(F.col("event_id") % 3 > 0, (_moment() + 11_644_473_600_000_000) * 10).otherwise(0)
     events = table(spark, sf_dir, "events")
-    return events.select("event_id", text.alias("moment"), times.parse(text).alias("ns"), times.display(ns).alias("shown"), F.coalesce(times.from_filetime(ticks).cast("string"), F.lit("none")).alias("file_time"))
+    return events.select(
+        "event_id",
+        text.alias("moment"),
+        times.parse(text).alias("ns"),
+        times.display(ns).alias("shown"),
+        F.coalesce(times.from_filetime(ticks).cast("string"), F.lit("none")).alias("file_time"),
+    )
 
 
 @query("SELECT lang AS prefix, count(*) AS objects, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents WHERE source <> 'src3' GROUP BY 1")

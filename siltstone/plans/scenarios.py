@@ -103,7 +103,9 @@ def command_restore(spark, sf_dir):
     own = f"{_work(spark, sf_dir)}/restored-{uuid.uuid4().hex}/src"
     commands.restore_snapshot(_repo(spark, sf_dir), "LAST~", own, times=True, permissions=True)
     walked = filesystem.scan(spark, [own]).where("kind = 'file'").select("path", "full_path", "size")
-    read = objects.read_objects(spark, f"file://{own}", "*.txt").select(F.regexp_replace("path", "^file:/+", "/").alias("full_path"), ids.digest(F.col("content"), 256).alias("digest"))
+    read = objects.read_objects(spark, f"file://{own}", "*.txt").select(
+        F.regexp_replace("path", "^file:/+", "/").alias("full_path"), ids.digest(F.col("content"), 256).alias("digest"),
+    )
     return walked.join(read, "full_path").select("path", "size", "digest")
 
 

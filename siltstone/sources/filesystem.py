@@ -102,14 +102,30 @@ class FileTree(DataSource):
 def scan(spark: SparkSession, roots: list[str], skips: list[str] = (), follow: bool = False) -> DataFrame:
     """All entries of the roots: columns of ``SCHEMA`` with ``path`` and ``meta``."""
     spark.dataSource.register(FileTree)
-    rows = spark.read.format("filetree").option("roots", json.dumps(list(roots))).option("skip", json.dumps(list(skips))).option("follow", str(follow).lower()).load()
-    meta = F.struct(F.lit("posix").alias("meta_type"), "mode", "size", "uid", "gid", "atime_ns", "mtime_ns", F.lit(None).cast("long").alias("attributes"), F.lit(None).cast("long").alias("creation_ns"))
+    rows = spark.read.format("filetree").option("roots", json.dumps(list(roots))).option("skip", json.dumps(list(skips))).option(
+        "follow", str(follow).lower(),
+    ).load()
+    meta = F.struct(
+        F.lit("posix").alias("meta_type"),
+        "mode",
+        "size",
+        "uid",
+        "gid",
+        "atime_ns",
+        "mtime_ns",
+        F.lit(None).cast("long").alias("attributes"),
+        F.lit(None).cast("long").alias("creation_ns"),
+    )
     return rows.select(F.array_join("parts", "/").alias("path"), "parts", "full_path", "kind", "size", "mtime_ns", "target", meta.alias("meta"))
 
 
 def totals(entries: DataFrame) -> DataFrame:
     """Pre-flight: files, bytes, and entries of no kind we back up."""
-    return entries.agg(F.count_if(F.col("kind") == "file").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("kind").isNull()).alias("special"))
+    return entries.agg(
+        F.count_if(F.col("kind") == "file").alias("files"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+        F.count_if(F.col("kind").isNull()).alias("special"),
+    )
 
 
 #: Bytes of a file that are read at a time.
@@ -143,7 +159,12 @@ def chunk_files(entries: DataFrame, minimum: int = MINIMUM, target: int = TARGET
                         n = [len(p) for p in parts]
                         begins = [at, *(at + x for x in accumulate(n))][: len(n)]
                         columns = ([path] * len(n), list(range(seq, seq + len(n))), begins, n, [object_id(p) for p in parts], parts)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "seq", "offset", "length", "blob_id", "bytes"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                            names=["path", "seq", "offset", "length", "blob_id", "bytes"],
+                        )
                         seq, at = seq + len(n), at + sum(n)
 
-    return entries.where("kind = 'file'").select("path", "full_path").mapInArrow(run, "path string, seq int, offset long, length long, blob_id string, bytes binary")
+    return entries.where("kind = 'file'").select("path", "full_path").mapInArrow(
+        run, "path string, seq int, offset long, length long, blob_id string, bytes binary",
+    )

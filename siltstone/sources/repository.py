@@ -52,7 +52,9 @@ def _name_pack(kind: str):
         ids, lengths = table.column("blob_id").to_pylist(), table.column("length").to_pylist()
         name = cbor.pack_id((kind, n, i) for i, n in zip(ids, lengths, strict=True))
         n = len(ids)
-        return pa.table({"blob_id": table.column("blob_id"), "seq": pa.array(range(n), pa.int32()), "length": table.column("length"), "lane": table.column("lane"), "pack_no": table.column("pack_no"), "pack_id": pa.array([name] * n)})
+        return pa.table(
+            {"blob_id": table.column("blob_id"), "seq": pa.array(range(n), pa.int32()), "length": table.column("length"), "lane": table.column("lane"), "pack_no": table.column("pack_no"), "pack_id": pa.array([name] * n)}
+        )
 
     return run
 
@@ -83,7 +85,9 @@ def piped(blobs: DataFrame, command: str | None) -> DataFrame:
 def index_name(manifest: DataFrame, supersedes: Iterable[str]) -> str | None:
     """An index's id: it hashes what it supersedes and, by bucket, its packs' ids (each of which hashes its manifest).
     The driver sees one digest a bucket, and none without packs."""
-    names = manifest.select("pack_id").distinct().groupBy(bucket_of().alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("pack_id")), ""), 224).alias("digest"))
+    names = manifest.select("pack_id").distinct().groupBy(bucket_of().alias("bucket")).agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list("pack_id")), ""), 224).alias("digest")
+    )
     digests = [bytes.fromhex(r["digest"]) for r in names.orderBy("bucket").collect()]
     return cbor.object_id(cbor.encode({"supersedes": sorted(supersedes), "packs": digests})) if digests else None
 
@@ -195,8 +199,12 @@ class Repository:
         placed = packing.pack_up(blobs.select("blob_id", "length"), self.pack_size, lanes)
         named = placed.groupBy("lane", "pack_no").applyInArrow(_name_pack(kind), "blob_id string, seq int, length long, lane int, pack_no int, pack_id string")
         named = materialize(named.select("blob_id", "seq", "length", "pack_id"), "manifest")
-        filled = blobs.drop("length").join(named, "blob_id").select("blob_id", "seq", "length", "bytes", F.lit(kind).alias("kind"), bucket_of().alias("bucket"), "pack_id")
-        filled.repartition(F.col("pack_id")).sortWithinPartitions("pack_id", "seq").write.mode("append").option("compression", "zstd").partitionBy("kind", "bucket", "pack_id").parquet(f"{self.root}/packs")
+        filled = blobs.drop("length").join(named, "blob_id").select(
+            "blob_id", "seq", "length", "bytes", F.lit(kind).alias("kind"), bucket_of().alias("bucket"), "pack_id",
+        )
+        filled.repartition(F.col("pack_id")).sortWithinPartitions("pack_id", "seq").write.mode("append").option("compression", "zstd").partitionBy("kind", "bucket", "pack_id").parquet(
+            f"{self.root}/packs"
+        )
         return named.select("pack_id", "seq", F.lit(kind).alias("blob_type"), "length", "blob_id")
 
     def write_trees(self, rows: DataFrame, manifest: DataFrame) -> None:
@@ -210,8 +218,13 @@ class Repository:
         name = index_name(manifest, supersedes)
         if name is None:
             return None
+        if twice := manifest.groupBy("pack_id", "seq").count().where("count > 1").take(1):
+            raise RepositoryError(f"pack {twice[0]['pack_id']} is listed twice")
         if supersedes:
-            self.spark.createDataFrame([(s, name) for s in supersedes], "superseded_id string, index_id string").write.mode("append").partitionBy("index_id").parquet(f"{self.root}/supersedes")
+            self.spark.createDataFrame(
+                [(s, name) for s in supersedes],
+                "superseded_id string, index_id string",
+            ).write.mode("append").partitionBy("index_id").parquet(f"{self.root}/supersedes")
         manifest.withColumn("index_id", F.lit(name)).write.mode("append").partitionBy("index_id").parquet(f"{self.root}/indexes")
         return name
 
