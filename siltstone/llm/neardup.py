@@ -307,8 +307,8 @@ def _other_links(reps: DataFrame, texts: DataFrame, held: DataFrame, k: int, per
     return materialize(more, "near-more")
 
 
-def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(signed rows, classes of equal sets with their component: d1, d2, n, id, least, component).
+def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed rows, doc_ids whose rows differ, classes of equal sets with their component: d1, d2, n, id, least, component).
 
     ``least`` is the least doc_id of the class, ``component`` the number of its component.
     """
@@ -323,11 +323,14 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     buckets = banded.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "rep")
     members = materialize(banded.join(materialize(buckets, "near-buckets"), "key"), "near-members")
     texts, found = _star_links(docs, reps, members, k, percent, most)
-    comps = connected_components(found.unionByName(_same_document(known, classes))).withColumnRenamed("node", "id")
+    shared = materialize(_shared(signed), "near-shared")
+    if not shared.isEmpty():
+        found = found.unionByName(_same_document(known, shared, classes))
+    comps = connected_components(found).withColumnRenamed("node", "id")
     held = members.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     more = connected_components(_other_links(reps, texts, held, k, percent, most)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     named = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return signed, named.join(more, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+    return signed, shared, named.join(more, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -336,9 +339,9 @@ def _shared(signed: DataFrame) -> DataFrame:
     return ends.where(" or ".join(f"a_{c} <> z_{c}" for c in DIGEST)).select("doc_id")
 
 
-def _same_document(known: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_document(known: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Links u, v between the classes of one doc_id."""
-    rows = known.join(materialize(_shared(known), "near-shared"), "doc_id").join(classes, DIGEST).select("doc_id", F.col("id").alias("u"))
+    rows = known.join(shared, "doc_id").join(classes, DIGEST).select("doc_id", F.col("id").alias("u"))
     rows = materialize(rows, "near-shared-rows")
     return rows.join(materialize(rows.groupBy("doc_id").agg(F.min("u").alias("v")), "near-shared-least"), "doc_id").where("u <> v").select("u", "v").distinct()
 
@@ -347,15 +350,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """Per row: doc_id, n_shingles, component_id, kept. Documents are linked if 100 times the common
     shingles are at least ``percent`` times all of the two sets' shingles."""
     with scope() as keep:
-        signed, classes = classes_of(docs, k, percent)
+        signed, shared, classes = classes_of(docs, k, percent)
         classes = materialize(classes, "near-components")
         tops = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")), "near-tops")
         of_class = keep(materialize(classes.join(tops, "component").select(*DIGEST, "component_id"), "near-ids"))
-        keep(signed)
+        keep(signed), keep(shared)
     rows = signed.where("n > 0 and doc_id is not null").select("doc_id", *DIGEST).join(of_class, DIGEST).select("doc_id", "n", "component_id")
-    # Rows without words take their document's component from its other rows, if it has any.
-    empty = signed.where("n = 0 or doc_id is null").select("doc_id", "n")
-    others = signed.where("n > 0").join(_shared(signed), "doc_id", "left_semi").join(of_class, DIGEST).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    empty = empty.join(others, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
+    empty = signed.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    if not shared.isEmpty():  # rows without words take their document's component from its other rows, if it has any
+        others = signed.where("n > 0").join(shared, "doc_id", "left_semi").join(of_class, DIGEST).groupBy("doc_id").agg(F.min("component_id").alias("of_others"))
+        empty = empty.join(others, "doc_id", "left").select("doc_id", "n", F.coalesce("of_others", "doc_id").alias("component_id"))
     out = rows.unionByName(empty)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
