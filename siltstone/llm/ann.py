@@ -292,7 +292,9 @@ def _load(row: dict) -> Loaded:
     order = [np.frombuffer(x, np.int32) for x in row["levels"]]
     links = [np.frombuffer(x, np.int32).reshape(-1, LINKS * (2 if i == 0 else 1)) for i, x in enumerate(row["links"])]
     graph = Graph(points, np.zeros(0, int), order, links, row["entry"])
-    return Loaded(graph, row["top"], np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64))
+    return Loaded(
+        graph, row["top"], np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), np.frombuffer(row["ids"], np.int64), np.frombuffer(row["first"], np.int64),
+    )
 
 
 def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -379,7 +381,9 @@ def clean(vectors: DataFrame) -> DataFrame:
     """(dim, id, vec as doubles) of the rows that take part."""
     vec = F.col("embedding").cast("array<double>")
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(F.size(vec).alias("dim"), F.col("vec_id").cast("long").alias("id"), vec.alias("vec"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine).select(
+        F.size(vec).alias("dim"), F.col("vec_id").cast("long").alias("id"), vec.alias("vec"),
+    )
 
 
 def build_index(rows: DataFrame, shard_root: int = SHARD_ROOT, shard_most: int = SHARD_MOST) -> DataFrame:

@@ -51,7 +51,9 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
         opens = (i == 0) | (F.get(at, i - 1)["role"] != x["role"])
         closes = F.coalesce(F.get(at, i + 1)["role"] != x["role"], F.lit(True))
         mark = F.concat(F.when(opens, "[role:").otherwise("[turn:"), escape(x["role"]), F.lit("]"))
-        return F.struct(mark.alias("mark"), escape(x["text"]).alias("body"), F.when(closes, "[end]").otherwise("").alias("end"), x["role"].isin(*loss_roles).alias("loss"))
+        return F.struct(
+            mark.alias("mark"), escape(x["text"]).alias("body"), F.when(closes, "[end]").otherwise("").alias("end"), x["role"].isin(*loss_roles).alias("loss"),
+        )
 
     pieces = sorted_turns.select("conv_id", F.transform("t", piece).alias("p"))
 

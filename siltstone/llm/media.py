@@ -461,7 +461,10 @@ def clips(files: DataFrame) -> DataFrame:
                 for column, values in zip(out, zip(*rows, strict=True), strict=False):
                     column += values
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(take, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "level"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(take, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]],
+                names=["doc_id", "clip", "first_frame", "last_frame", "start_s", "end_s", "level"],
+            )
 
     kind = files.schema["doc_id"].dataType.simpleString()
     return files.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, clip int, first_frame int, last_frame int, start_s double, end_s double, level double")
@@ -482,7 +485,12 @@ def round_trip(docs: DataFrame) -> DataFrame:
                     for x, m, v in zip(texts, files, read_files(files), strict=True)
                 ]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id")[a:b], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]],
+                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+    )

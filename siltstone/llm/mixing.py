@@ -93,7 +93,12 @@ def slots_of(sources: DataFrame, slots: int, block_words: int, shard_slots: int,
     due = due.withColumn("gap", F.coalesce(F.sum(F.col("to") - F.col("from")).over(gap_before), F.lit(0)))
     due = due.select("*", F.explode(F.expr(f"sequence(from, to - 1, {shard_slots})")).alias("at"))
     last = -(-slots // shard_slots)
-    due = due.select((F.lit(last) + F.expr(f"(gap + at - from) div {shard_slots}")).alias("shard"), *facts, F.col("at").alias("from"), F.least(F.col("at") + shard_slots, F.col("to")).alias("to"))
+    due = due.select(
+        (F.lit(last) + F.expr(f"(gap + at - from) div {shard_slots}")).alias("shard"),
+        *facts,
+        F.col("at").alias("from"),
+        F.least(F.col("at") + shard_slots, F.col("to")).alias("to"),
+    )
     spread = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots // 65536))
     runs = drawn.unionByName(due).repartition(spread, "rank", "shard")
     each = runs.select("shard", *facts, F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("slot"))
@@ -104,18 +109,36 @@ def slots_of(sources: DataFrame, slots: int, block_words: int, shard_slots: int,
     return each.select("shard", "rank", "slot", block.alias("block"), F.least(whole, rest).alias("words"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = 512, shard_slots: int = 4096, seed: int = 17, number: Column | None = None) -> Mix:
+def mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (1, 2, 3),
+    cap: float = 3.0,
+    block_words: int = 512,
+    shard_slots: int = 4096,
+    seed: int = 17,
+    number: Column | None = None,
+) -> Mix:
     """Plan the mix of ``docs`` (doc_id, text, source): which words of which document each slot takes.
 
     No document is taken more than ``cap`` (rounded up) times. ``number`` tells rows apart; it is kept in the plan.
     """
     number = F.monotonically_increasing_id() if number is None else number
-    base = docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row"), number.alias("number"))
+    base = docs.select(
+        "doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", "source").alias("row"), number.alias("number"),
+    )
     base = materialize(base, "mix-sizes")
     base = base.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(root_buckets(base.count()))))
     sums = base.groupBy("src", "bucket").agg(F.sum("size").alias("words_in"))
     sources = targets(sums.groupBy("src").agg(F.sum("words_in").alias("source_size")), weights, cap)
-    sources = sources.select("src", "rank", "source_size", "target", F.round("target").cast("long").alias("words"), F.expr(f"source_size div {block_words}").alias("full"), F.expr(f"(source_size + {block_words - 1}) div {block_words}").alias("blocks"))
+    sources = sources.select(
+        "src",
+        "rank",
+        "source_size",
+        "target",
+        F.round("target").cast("long").alias("words"),
+        F.expr(f"source_size div {block_words}").alias("full"),
+        F.expr(f"(source_size + {block_words - 1}) div {block_words}").alias("blocks"),
+    )
     quota = F.expr(f"if(source_size = 0, 0, words div source_size * blocks + (words % source_size + {block_words - 1}) div {block_words})")
     sources = sources.withColumn("quota", quota)
     sources = materialize(sources.withColumn("quota_from", F.sum("quota").over(Window.orderBy("rank")) - F.col("quota")), "mix-sources")  # one row per source
@@ -123,10 +146,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("words_in").over(before), F.lit(0)))
     offsets = offsets.alias("o").join(sources.alias("s"), F.expr("o.src <=> s.src")).select("o.src", "o.bucket", "o.offset", "s.rank", "s.source_size", "s.target")
-    placed = base.alias("b").join(offsets.alias("o"), F.expr("b.src <=> o.src and b.bucket = o.bucket")).select("o.rank", "b.bucket", "b.doc_id", "b.size", "b.row", "b.number", "o.offset", "o.source_size", "o.target")
+    placed = base.alias("b").join(offsets.alias("o"), F.expr("b.src <=> o.src and b.bucket = o.bucket")).select(
+        "o.rank", "b.bucket", "b.doc_id", "b.size", "b.row", "b.number", "o.offset", "o.source_size", "o.target",
+    )
     within = Window.partitionBy("rank", "bucket").orderBy("doc_id", "size", "row", "number")
     run = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.select("rank", "bucket", F.row_number().over(within).alias("rn"), "doc_id", "size", "number", (F.col("offset") + run - F.col("size")).alias("start"), "source_size", "target")
+    placed = placed.select(
+        "rank",
+        "bucket",
+        F.row_number().over(within).alias("rn"),
+        "doc_id",
+        "size",
+        "number",
+        (F.col("offset") + run - F.col("size")).alias("start"),
+        "source_size",
+        "target",
+    )
     pieces = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})"))))
     slot = slots_of(sources, slots, block_words, shard_slots, seed)
     lo = F.greatest(F.col("start"), F.col("block") * block_words)

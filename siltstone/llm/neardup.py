@@ -85,7 +85,9 @@ def most_differing_bits(threshold: float) -> int:
 
 
 def _signed(k: int):
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
+    schema = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +303,9 @@ def _other_links(reps: DataFrame, texts: DataFrame, held: DataFrame, k: int, per
     sketch_sql = ", ".join(f"{s} long" for s in SKETCH)
     # Dealt anew: the join left all blocks of a group in one task.
     rest = rest.repartition(F.col("key"), F.col("cell"), F.col("block"))
-    near = rest.groupBy("key", "cell", "block").applyInArrow(_candidates(most, percent), f"key long, cell long, block long, id long, component long, {sketch_sql}, pair long")
+    near = rest.groupBy("key", "cell", "block").applyInArrow(
+        _candidates(most, percent), f"key long, cell long, block long, id long, component long, {sketch_sql}, pair long",
+    )
     near = materialize(near, "near-candidates")
     more = near.join(texts, "id").groupBy("key", "cell", "block", "pair").applyInArrow(_confirm_rest(k, percent, most), "u long, v long")
     return materialize(more, "near-more")

@@ -81,4 +81,13 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16384, keep: tuple[st
     length = F.get(bound, F.col("bucket"))
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(length, F.lit(1)))).cast("long")
     out = sized.withColumn("bucket_len", length).withColumn("room", room)
-    return out.select("doc_id", "n_tokens", "bucket", "bucket_len", F.expr("at div room").alias("batch"), F.expr("at % room").alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), *keep)
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        "bucket",
+        "bucket_len",
+        F.expr("at div room").alias("batch"),
+        F.expr("at % room").alias("slot"),
+        (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        *keep,
+    )

@@ -115,7 +115,9 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = Fa
 
 
 #: Blocks of scripts written without spaces: Thai and Lao, Myanmar, Khmer, kana, Han and its further planes.
-_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF),
+)
 
 
 def unspaced(data: np.ndarray) -> np.ndarray:

@@ -287,7 +287,7 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert components_found(spark, rows) == dict.fromkeys((1, 2, 3, 4, 7, 9), 1) | {8: 8} == brute_components(rows, 3, 85)
 
 
-@pytest.mark.parametrize("limits", [{"BLOCK": 8, "STAR": 8}, {"BLOCK": 8, "STAR": 3, "PART_ROWS": 3}, {"PART_SHINGLES": 300}])
+@pytest.mark.parametrize("limits", [{"BLOCK": 8, "STAR": 3, "PART_ROWS": 3}, {"PART_SHINGLES": 300}])
 def test_near_duplicates_in_small_blocks(spark, monkeypatch, limits):
     """Buckets of many components, cut by size, block and part, against brute force."""
     for name, value in limits.items():
